@@ -8,7 +8,11 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op2_best_fit_packing": "packing",
+    "op3_token_counts": "token_counts",
     "op5_quality_rules": "quality_rules",
+    "op7_secret_scans": "secrets",
+    "op9_decontamination": "decontaminate",
 }
 
 
