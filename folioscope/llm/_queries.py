@@ -8,10 +8,13 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_licence_scans": "licences",
     "op2_best_fit_packing": "packing",
     "op3_token_counts": "token_counts",
+    "op4_toxicity": "toxicity",
     "op5_quality_rules": "quality_rules",
     "op7_secret_scans": "secrets",
+    "op8_chat_formatting": "chat",
     "op9_decontamination": "decontaminate",
 }
 
