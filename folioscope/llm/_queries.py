@@ -13,9 +13,11 @@ _MODULES = {
     "op3_token_counts": "token_counts",
     "op4_toxicity": "toxicity",
     "op5_quality_rules": "quality_rules",
+    "op6_jaccard_join": "jaccard_join",
     "op7_secret_scans": "secrets",
     "op8_chat_formatting": "chat",
     "op9_decontamination": "decontaminate",
+    "op10_suffix_dedup": "suffix_dedup",
 }
 
 
