@@ -14,6 +14,8 @@ from functools import lru_cache
 import numpy as np
 
 CACHE_ROWS = 600_000
+#: New runs encoded in one call.
+_TOGETHER = 256
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -41,12 +43,20 @@ class Encoder:
         if len(kept) + len(new) > CACHE_ROWS:
             kept.clear()
             new = list({r for row in runs for r in row})
-        if new:
-            kind = self._dtype
-            found = self._tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in new], add_special_tokens=False)
-            kept.update((r, np.array(e.ids, kind).tobytes()) for r, e in zip(new, found, strict=True))
+        for i in range(0, len(new), _TOGETHER):
+            self._encode(new[i : i + _TOGETHER])
         return [b"".join(map(kept.__getitem__, row)) for row in runs]
 
+    def _encode(self, runs: list[bytes]) -> None:
+        """New runs, as one text with spaces between them; each id's offset tells whose it is."""
+        words = [r.decode("utf-8", "replace") for r in runs]
+        found = self._tokenizer.encode(" ".join(words), add_special_tokens=False)
+        raw, width = np.array(found.ids, self._dtype).tobytes(), self._dtype.itemsize
+        begin = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        first = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cut = (np.searchsorted(begin, first) * width).tolist()
+        self._kept.update((r, raw[a:b]) for r, a, b in zip(runs, cut, cut[1:], strict=False))
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, special_as_text: bool = False, dtype: str = "<u4") -> Encoder:
