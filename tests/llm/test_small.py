@@ -387,9 +387,11 @@ def test_suffix_dedup_in_pieces(spark, table, monkeypatch):
     data = overlapping(11)
     texts = [(hashlib.md5(t.encode()).digest(), t.encode()) for _, t in data]
     whole_text = b"".join(t for _, t in texts)
-    batch = next(iter(suffix_dedup._flush([(b"0" * 16, whole_text)], 1)))
-    x = suffix_dedup._unpack(batch.column(1).to_pylist())
-    spans = sorted((int(a), int(a) + int(r)) for a, r in zip(x["lo"], x["runs"], strict=True))
+    batch = list(suffix_dedup._flush([(b"0" * 16, whole_text)], 1))
+    x = suffix_dedup._unpack(batch[-1].column(1).to_pylist())
+    spans = [(int(a), int(a) + int(r)) for a, r in zip(x["lo"], x["runs"], strict=True)]
+    known = [y for b in batch[:-1] for y in np.frombuffer(b.column(1)[0].as_py(), suffix_dedup._DIRECT)]
+    spans = sorted(spans + [(int(y["lo"]), int(y["lo"]) + int(y["runs"])) for y in known])
     assert [p for a, b in spans for p in range(a, b + 1)] == list(range(len(whole_text) - 199))
 
 
