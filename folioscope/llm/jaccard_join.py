@@ -4,17 +4,18 @@ A document's set holds its distinct n-word shingles (64-bit hashes).  Documents
 with equal sets form a class, and only classes are compared.  All n-grams stand
 in one global order: first those that are rare in prefixes, by hash, then the
 most frequent ones, by frequency.  Linked classes share an n-gram among the
-first few of each set in that order (prefix filter), at positions that leave
-room for the overlap they need (position filter), and have like sizes (length
-filter); pairs that pass become candidates.
+first few of each set in that order (prefix filter), so many of them that the
+rest of a set can make up what is missing (prefix overlap filter), and have like
+sizes (length filter); the first n-gram that they share leaves room for the rest
+(position filter); pairs that pass become candidates.
 
 The global order is cut into fragments, each set into its pieces in them; the
 overlap of a candidate pair is counted fragment by fragment and summed per pair.
 
 Near copies come in groups whose members are nearly all linked with each other.
 To lose no link between different texts and yet emit no group's pairs, there
-are two rounds.  First each class meets one partner, the least member of the
-posting list that it shares most n-grams with; that gives most components.
+are two rounds.  First each class meets one partner, the hub (the member that
+shares most) of the posting lists that it is in; that gives most components.
 Then only pairs whose ends lie in different components are left to verify, and
 all of them are.  The components are those of the complete graph of links.
 
@@ -44,8 +45,10 @@ from ._bloom import bloom
 N = 4
 PERCENT = 85
 FRAGMENTS = 8
+#: N-grams are counted in runs of texts with so many of them; those that a run holds once count as rare there.
+COUNTED_TOGETHER = 1 << 22
 #: The order's table of frequent n-grams: at least so frequent, at most so many.
-FREQUENT = 48
+FREQUENT = 16
 MOST_FREQUENT = 1 << 17
 #: Members of a frequent n-gram's posting list for each grain of salt.
 PER_SALT = 4096
@@ -159,19 +162,29 @@ def _digests(sets: Sets):
     return run
 
 
-def _prefix_grams(sets: Sets, percent: int):
-    """The first n-grams of each new set, by hash: what the frequencies are counted over."""
+def _common_grams(sets: Sets):
+    """N-grams that several sets of a run of texts hold, with how many: what the order's frequencies are summed from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, fresh, gram, first in _new_sets(sets, batches):
-            parts = [gram[first[r] : first[r] + prefix_length(int(first[r + 1] - first[r]), percent)] for r in fresh]
-            key, count = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["gram", "n"])
+            held += [gram[first[r] : first[r + 1]] for r in fresh]
+            size += sum(len(x) for x in held[-len(fresh) :])
+            if size >= COUNTED_TOGETHER:
+                yield _several(held)
+                held, size = [], 0
+        if held:
+            yield _several(held)
 
     return run
 
 
-_POSTING = "gram long, salt int, node long, size int, pos int"
+def _several(held: list[np.ndarray]) -> pa.RecordBatch:
+    key, count = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(key[count > 1].view(np.int64)), pa.array(count[count > 1])], ["gram", "n"])
+
+
+_POSTING = "gram long, salt int, node long, size int, place int"
 
 
 def _postings(sets: Sets, percent: int, order):
@@ -187,48 +200,40 @@ def _postings(sets: Sets, percent: int, order):
                 for have, x in zip(out, (own[:p].view(np.int64), salt, np.full(p, node[r]), np.full(p, size), np.arange(p)), strict=True):
                     have.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(t) for x, t in zip(out, kinds, strict=True)], ["gram", "salt", "node", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(t) for x, t in zip(out, kinds, strict=True)], ["gram", "salt", "node", "size", "place"])
 
     return run
 
 
-_LED = f"{_POSTING}, leader long, leader_size int, leader_pos int"
-_LED_NAMES = ["gram", "salt", "node", "size", "pos", "leader", "leader_size", "leader_pos"]
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted posting lists, those with two members or more; grains of salted lists as they are.
 
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted posting lists, those with two members or more (or salted), with each list's first member."""
-    held: pa.RecordBatch | None = None  # the last row so far, if its list may go on
-    lead: tuple[int, ...] | None = None  # (gram, salt, node, size, pos) of the open list's first row
-    led = 0  # rows of the open list given out
-    names = _LED_NAMES[:5]
+    Only a list's first row is ever held back, for the next batch to decide on.
+    """
+    held: pa.RecordBatch | None = None
+    open_list: tuple[int, int] | None = None  # a list that has given out rows
     for batch in batches:
-        col = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
         if held is not None:
-            col = [np.concatenate([a, b]) for a, b in zip(held, col, strict=True)]
+            batch = pa.concat_batches([held, batch]) if batch.num_rows else held
             held = None
-        n = len(col[0])
-        if not n:
+        if not batch.num_rows:
             continue
-        new = np.ones(n, bool)
-        new[1:] = (col[0][1:] != col[0][:-1]) | (col[1][1:] != col[1][:-1])
-        if lead is not None and (col[0][0], col[1][0]) == lead[:2]:
-            new[0] = False
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1  # -1: still the open list
-        first = [np.concatenate([c[begin], [lead[k] if lead else 0]])[group] for k, c in enumerate(col)]
-        size = np.bincount(group + 1, minlength=len(begin) + 1)
-        size[0] += led
-        keep = (size[group + 1] > 1) | (col[1] >= 0)
-        if size[group[-1] + 1] == 1 and col[1][-1] < 0:  # a list of one row so far: wait
-            held = [c[-1:] for c in col]
-            lead, led = None, 0
-            keep[-1] = False
+        gram, salt = (batch.column(k).to_numpy() for k in (0, 1))
+        same = (gram[1:] == gram[:-1]) & (salt[1:] == salt[:-1])
+        keep = salt >= 0
+        keep[1:] |= same
+        keep[:-1] |= same
+        k = 0
+        while k < len(gram) and (gram[k], salt[k]) == open_list:  # at most one such row isn't kept already
+            keep[k] = True
+            if k + 1 < len(gram) and same[k]:
+                break
+            k += 1
+        if not keep[-1]:
+            held, open_list = batch.slice(len(gram) - 1), None
         else:
-            lead, led = tuple(int(f[-1]) for f in first), int(size[group[-1] + 1])
-        out = [*(c[keep] for c in col), *(first[k][keep] for k in (2, 3, 4))]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(out, kinds, strict=True)], [*names, *_LED_NAMES[5:]])
+            open_list = (int(gram[-1]), int(salt[-1]))
+        yield batch.filter(pa.array(keep))
 
 
 def _segments(sets: Sets, order, wanted, fragments: int):
@@ -253,11 +258,20 @@ def _need(a: str, b: str, percent: int):
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
 
 
-def _may_link(percent: int, a: tuple[str, str], b: tuple[str, str]):
-    """Length filter, and room for the needed overlap behind both positions."""
-    need = _need(a[0], b[0], percent)
-    room = F.least(F.col(a[0]) - F.col(a[1]), F.col(b[0]) - F.col(b[1]))
-    return (need <= F.least(F.col(a[0]), F.col(b[0]))) & (room >= need)
+def _like_sizes(a: str, b: str, percent: int):
+    """Length filter: the smaller set can hold the overlap that is needed."""
+    return _need(a, b, percent) <= F.least(F.col(a), F.col(b))
+
+
+def _early(mine: str, place: str, other: str, percent: int):
+    """Position filter: the first n-gram that a linked pair shares leaves room behind it for the rest."""
+    return F.col(mine) - F.col(place) >= _need(mine, other, percent)
+
+
+def _shared_enough(a: str, b: str, shared: str, percent: int):
+    """Prefix overlap filter: a pair shares no more than what its prefixes share and the rest of the set whose prefix ends first."""
+    rest = F.ceil(F.lit(percent) * F.greatest(F.col(a), F.col(b)) / F.lit(100)) - 1
+    return F.col(shared) + rest >= _need(a, b, percent)
 
 
 class Join:
@@ -281,33 +295,49 @@ class Join:
             self.keys = _store.pin(self.docs.mapInArrow(_digests(self.sets), "doc_id long, n long, node long, half long"), "keys")
 
     def order(self) -> Order:
-        grams = self.text.mapInArrow(_prefix_grams(self.sets, self.percent), "gram long, n long")
+        grams = self.text.mapInArrow(_common_grams(self.sets), "gram long, n long")
         often = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
         return Order({r.gram: r.n for r in often.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()})
 
     def lists(self, order) -> DataFrame:
-        """The posting lists that have two members or more, written once."""
+        """(gram, node, size, place): the posting lists that have two members or more, written once."""
         made = self.text.mapInArrow(_postings(self.sets, self.percent, order), _POSTING).repartition("gram", "salt")
-        # The same class may come from several tasks: equal rows are neighbours after the sort.
-        return _store.pin(made.dropDuplicates(["gram", "salt", "size", "node", "pos"]).sortWithinPartitions("gram", "salt", "size", "node").mapInArrow(_lead, _LED), "lists")
+        met = made.dropDuplicates().sortWithinPartitions("gram", "salt").mapInArrow(_meet, _POSTING)
+        return _store.pin(met.drop("salt"), "lists")
+
+    def hubs(self, lists: DataFrame) -> DataFrame:
+        """(gram, hub, hub_size): of each list the member whose lists are longest in all.
+
+        The text that near copies stem from has no n-grams of its own in front of
+        the shared ones, so it stands in more, and longer, lists than they do.
+        """
+        long = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        weight = lists.join(long, "gram").groupBy("node").agg(F.sum("members").alias("weight"))
+        known = lists.select("gram", "node", "size").join(weight, "node")
+        best = known.groupBy("gram").agg(F.max("weight").alias("weight"))
+        top = known.join(best, ["gram", "weight"]).groupBy("gram").agg(F.min("node").alias("hub"))
+        return top.join(lists.select("gram", F.col("node").alias("hub"), F.col("size").alias("hub_size")), ["gram", "hub"])
 
     def first_pairs(self, lists: DataFrame) -> DataFrame:
-        """For each class the list leader that it shares most n-grams with."""
-        heads = lists.filter((F.col("salt") >= 0) & (F.col("node") == F.col("leader"))).select("gram", F.lit(-1).alias("salt"), "node", "size", "pos")
-        over_salts = heads.repartition("gram").sortWithinPartitions("gram", "salt", "size", "node").mapInArrow(_lead, _LED)
-        led = lists.unionByName(over_salts).filter("node <> leader").filter(_may_link(self.percent, ("size", "pos"), ("leader_size", "leader_pos")))
-        shared = led.groupBy("node", "leader").count()
-        return shared.groupBy("node").agg(F.max_by("leader", "count").alias("b")).select(F.col("node").alias("a"), "b")
+        """For each class the hub that it shares most n-grams with."""
+        met = lists.join(self.hubs(lists), "gram").filter("node <> hub").filter(_like_sizes("size", "hub_size", self.percent))
+        shared = met.groupBy("node", "size", "hub", "hub_size").count().filter(_shared_enough("size", "hub_size", "count", self.percent))
+        return shared.groupBy("node").agg(F.max_by("hub", "count").alias("b")).select(F.col("node").alias("a"), "b")
 
     def cross_pairs(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
         """All candidate pairs whose ends lie in different components."""
-        own = lists.select("gram", "node", "size", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        own = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
         own = _store.pin(own.join(mixed, "gram"), "mixed-lists")
-        x = own.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "pos", "comp")])
-        y = own.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "pos", "comp")])
-        both = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & _may_link(self.percent, ("x_size", "x_pos"), ("y_size", "y_pos"))
-        return x.join(y, "gram").filter(both).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+        x = own.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "comp")])
+        y = own.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "comp")])
+        both = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & _like_sizes("x_size", "y_size", self.percent)
+        both = both & _early("x_size", "x_place", "y_size", self.percent) & _early("y_size", "y_place", "x_size", self.percent)
+        pairs = x.join(y, "gram").filter(both).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_size", "y_size").distinct()
+        prefix = own.groupBy("node").agg(F.collect_set("gram").alias("grams"))  # a prefix is as short as its text asks for
+        known = pairs.join(prefix.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(prefix.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
+        known = known.withColumn("count", F.size(F.array_intersect("left", "right")))
+        return known.filter(_shared_enough("x_size", "y_size", "count", self.percent)).select("a", "b")
 
     def linked(self, pairs: DataFrame, order) -> DataFrame:
         """Of candidate pairs (a, b), those with enough shared n-grams: partial overlaps by fragment, summed per pair."""
