@@ -53,7 +53,7 @@ def lines(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return strip(text) == ""
+    return ~text.rlike(r"[^\s\x1c-\x1f\x85\p{Z}]")
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -84,10 +84,12 @@ def text_metrics(text: Column) -> Column:
 
 def meaningful(text: Column, min_chars: int = 200, min_alnum_ratio: float = 0.25, min_avg_line: float = 12.0, max_blank_ratio: float = 0.6, metrics: Column | None = None) -> Column:
     """Whether a text layer is good enough to be used as it is."""
-    m = text_metrics(text) if metrics is None else metrics
-    short = (m["avg_line_len"] < min_avg_line) & (m["total_chars"] < 2 * min_chars)
-    good = (m["total_chars"] >= min_chars) & (m["alnum_ratio"] >= min_alnum_ratio) & ~short & (m["blank_ratio"] <= max_blank_ratio)
-    return good & (F.coalesce(text, F.lit("")) != "")
+
+    def good(m: Column) -> Column:
+        short = (m["avg_line_len"] < min_avg_line) & (m["total_chars"] < 2 * min_chars)
+        return (m["total_chars"] >= min_chars) & (m["alnum_ratio"] >= min_alnum_ratio) & ~short & (m["blank_ratio"] <= max_blank_ratio)
+
+    return (F.coalesce(text, F.lit("")) != "") & (let(text_metrics(text), good) if metrics is None else good(metrics))
 
 
 def language_hint(text: Column, sample: int = 1000, share: float = 0.4) -> Column:
@@ -121,15 +123,18 @@ def ocr_metrics(text: Column) -> Column:
 
 def ocr_ok(text: Column, min_chars: int = 80, min_alnum_ratio: float = 0.2, max_symbol_ratio: float = 0.6, max_replacement_ratio: float = 0.02, metrics: Column | None = None) -> Column:
     """STRUCT<ok, reason>: the first limit that a recognised text misses."""
-    m = ocr_metrics(text) if metrics is None else metrics
-    reason = (
-        F.when(m["total_chars"] < min_chars, f"total_chars<{min_chars}")
-        .when(m["alnum_ratio"] < min_alnum_ratio, f"alnum_ratio<{min_alnum_ratio}")
-        .when(m["symbol_ratio"] > max_symbol_ratio, f"symbol_ratio>{max_symbol_ratio}")
-        .when(m["replacement_ratio"] > max_replacement_ratio, f"replacement_ratio>{max_replacement_ratio}")
-        .otherwise("")
-    )
-    return F.struct((reason == "").alias("ok"), reason.alias("reason"))
+
+    def fault(m: Column) -> Column:
+        return (
+            F.when(m["total_chars"] < min_chars, f"total_chars<{min_chars}")
+            .when(m["alnum_ratio"] < min_alnum_ratio, f"alnum_ratio<{min_alnum_ratio}")
+            .when(m["symbol_ratio"] > max_symbol_ratio, f"symbol_ratio>{max_symbol_ratio}")
+            .when(m["replacement_ratio"] > max_replacement_ratio, f"replacement_ratio>{max_replacement_ratio}")
+            .otherwise("")
+        )
+
+    reason = let(ocr_metrics(text), fault) if metrics is None else fault(metrics)
+    return let(reason, lambda r: F.struct((r == "").alias("ok"), r.alias("reason")))
 
 
 def is_quality_error(message: Column) -> Column:

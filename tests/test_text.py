@@ -64,7 +64,7 @@ def test_text_gate(apply):
 
 
 def test_ocr_gate(apply):
-    got = apply(t.ocr_ok, ["short", "." * 100, "a#" * 60 + "#" * 200, "ab" * 50 + "[??]" * 3, "ab" * 50])
+    got = apply(t.ocr_ok, ["short", "." * 100, "a#" * 60 + "#" * 60, "ab" * 50 + "[??]" * 3, "ab" * 50])
     assert [g.reason for g in got] == ["total_chars<80", "alnum_ratio<0.2", "symbol_ratio>0.6", "replacement_ratio>0.02", ""]
     assert [g.ok for g in got] == [False] * 4 + [True]
     m = apply(t.ocr_metrics, ["[??] �a□"])[0]
