@@ -203,9 +203,6 @@ def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged(spark, sf_dir).select("doc_id", "page", t.dehyphenate(F.col("text")).alias("text"))
 
 
-_LINES_AGG = "SELECT doc_id, page, count(*) AS n_lines"
-
-
 def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = paged(spark, sf_dir).select("doc_id", "page", t.normalize(F.col("text")).alias("text"))
     return page.select("doc_id", "page", F.posexplode(t.lines(F.col("text"))).alias("i", "line"))
@@ -300,9 +297,6 @@ def page_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", t.page_name(page, F.lit(1000)).alias("name"), t.page_name(page, F.lit(7), "JPEG").alias("image"))
 
 
-_RANGES = "concat(CAST(ps_partkey % 40 AS VARCHAR), ',', CAST(ps_partkey % 7 + 9 AS VARCHAR), '-', CAST(ps_partkey % 11 AS VARCHAR), ' 3')"
-
-
 @query("WITH r AS (SELECT p_partkey, p_partkey % 40 AS a, p_partkey % 7 + 9 AS b, p_partkey % 11 AS c FROM part), u AS (SELECT p_partkey, unnest(list_concat([a, 3], range(least(b, c), greatest(b, c) + 1))) AS p FROM r) SELECT p_partkey, string_agg(DISTINCT CAST(p AS VARCHAR), ',' ORDER BY CAST(p AS VARCHAR)) AS pages FROM u WHERE p > 0 GROUP BY 1")
 def parse_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
