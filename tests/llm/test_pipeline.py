@@ -1,8 +1,6 @@
-import hashlib
 import random
-import re
 
-from folioscope.llm import packing, quality_rules, secrets
+from folioscope.llm import secrets
 
 import corpus_pipeline
 
@@ -37,5 +35,4 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.text for r in docs.collect()} == dict(kept)
     assert 11 not in want and 3 not in want and 7 not in want and "<assign>" in dict(kept)[9]
     got = {r.doc_id: r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == want and packing.CAPACITY == 4096 and quality_rules.POLICIES["v1"]
-    assert re.fullmatch("[0-9a-f]{64}", hashlib.sha256(b"").hexdigest())
+    assert got == want
