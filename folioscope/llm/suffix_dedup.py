@@ -40,7 +40,7 @@ from ._bloom import bloom
 SPAN = 200
 GRAM = 32
 #: Bytes of text whose anchors fall to one bucket, on average.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 12 << 20
 #: Longer texts are scanned in overlapping pieces of this size.
 PIECE = 8 << 20
 _POS = np.uint64((1 << 24) - 1)
@@ -110,7 +110,9 @@ def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-_PACK = (("hash", np.uint64), ("context", np.uint64), ("digest", np.dtype("V16")), ("lo", np.uint32), ("runs", np.uint8), ("ahead", np.uint8))
+_PACK = (("hash", np.uint64), ("context", np.uint64), ("digest", np.dtype("V16")), ("lo", np.uint32), ("runs", np.uint8), ("ahead", np.uint8), ("many", np.uint8))
+#: Runs that are known to be repeated where they are found; runs of -1: the whole text.
+_DIRECT = np.dtype([("digest", "V16"), ("lo", "<u4"), ("runs", "<i2")])
 
 
 def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -124,18 +126,40 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {name: np.concatenate(x) for name, x in parts.items()}
 
 
+def _direct(records: np.ndarray, buckets: int) -> pa.RecordBatch:
+    at = -1 - int.from_bytes(records["digest"][0].tobytes()[:8], "little") % buckets
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([records.tobytes()], pa.binary())], ["bucket", "packed"])
+
+
 def _flush(texts: list[tuple[bytes, bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of some texts, packed by column, a row for each bucket."""
+    """Anchors of some texts, packed by column, a row for each bucket.
+
+    A context that these texts hold several times is repeated already: it is sent on
+    once, and its other runs needn't meet any.  So the inside of a passage that a
+    third of all texts hold costs one entry for each call.
+    """
     pieces = [(digest, base, text[base : base + PIECE + SPAN - 1]) for digest, text in texts for base in range(0, max(1, len(text) - SPAN + 1), PIECE)]
     offsets = np.cumsum([0, *(len(p) for _, _, p in pieces)])
     h, c, anchor, lo, hi = anchors(np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8), offsets)
     row = np.searchsorted(offsets, lo, "right") - 1
     digests = np.frombuffer(b"".join(d for d, _, _ in pieces), "V16")[row]
     start = np.array([b for _, b, _ in pieces], np.int64)[row] + lo - offsets[row]
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    columns = [x[order] for x in (h, c, digests, start.astype(np.uint32), (hi - lo).astype(np.uint8), (anchor - lo).astype(np.uint8))]
-    numbers, first = np.unique(bucket[order], return_index=True)
+    alike = np.lexsort((c, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[alike[1:]] != h[alike[:-1]]) | (c[alike[1:]] != c[alike[:-1]])
+    many = np.zeros(len(h), np.uint8)
+    many[alike[new]] = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
+    rest = alike[~new]
+    if len(rest):
+        records = np.empty(len(rest), _DIRECT)
+        records["digest"], records["lo"], records["runs"] = digests[rest], start[rest], (hi - lo)[rest]
+        yield _direct(records, buckets)
+    own = np.sort(alike[new])
+    bucket = (h[own] % np.uint64(buckets)).astype(np.int64)
+    order = own[np.argsort(bucket, kind="stable")]
+    bucket = np.sort(bucket, kind="stable")
+    columns = [x[order] for x in (h, c, digests, start.astype(np.uint32), (hi - lo).astype(np.uint8), (anchor - lo).astype(np.uint8), many)]
+    numbers, first = np.unique(bucket, return_index=True)
     ends = np.append(first[1:], len(order))
     blobs = [b"".join(x[a:b].tobytes() for x in columns) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
@@ -155,8 +179,10 @@ def _emit_anchors(buckets: int):
                 held, size = [], 0
         if held:
             yield from _flush(held, buckets)
-        if again:  # whole texts: no anchors, a negative bucket
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - _key(d) % buckets for d in again], pa.int64()), pa.array(again, pa.binary())], ["bucket", "packed"])
+        if again:
+            records = np.empty(len(again), _DIRECT)
+            records["digest"], records["lo"], records["runs"] = np.frombuffer(b"".join(again), "V16"), 0, -1
+            yield _direct(records, buckets)
 
     return run
 
@@ -169,9 +195,9 @@ def _resolve(table: pa.Table) -> pa.Table:
     """One bucket's anchors: what is repeated already, and what must be looked at."""
     blobs = table.column("packed").to_pylist()
     if table.column("bucket")[0].as_py() < 0:
-        n = len(blobs)
-        zero = np.zeros(n, np.int32)
-        return pa.table([pa.array(blobs, pa.binary()), pa.array([_key(d) for d in blobs], pa.int64()), pa.array(zero), pa.array(np.full(n, -1, np.int32)), pa.array(zero), pa.array(zero.astype(np.int64)), pa.array(zero)], schema=_FOUND_ARROW)
+        known = np.frombuffer(b"".join(blobs), _DIRECT)
+        lo, zero = known["lo"].astype(np.int32), np.zeros(len(known), np.int32)
+        return _found(np.ascontiguousarray(known["digest"]), lo, lo + known["runs"], zero, zero.astype(np.int64), zero)
     x = _unpack(blobs)
     order = np.lexsort((x["context"], x["hash"]))
     x = {k: v[order] for k, v in x.items()}
@@ -182,7 +208,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     new[1:] |= x["context"][1:] != x["context"][:-1]
     kind_of = np.cumsum(new) - 1
     group_of = np.cumsum(new_hash) - 1
-    members = np.bincount(kind_of)
+    members = np.bincount(kind_of, 1 + x["many"]).astype(np.int64)
     several = np.bincount(group_of[new]) > 1
     lonely = members[kind_of] == 1
     has_open = np.bincount(group_of, lonely) > 0
@@ -192,11 +218,14 @@ def _resolve(table: pa.Table) -> pa.Table:
     source = np.flatnonzero(new & ~lonely & several[group_of] & has_open[group_of])  # one of each such context
     pick = np.concatenate([np.flatnonzero(kind >= 0), source])
     kind = np.concatenate([kind[kind >= 0], np.full(len(source), _SOURCE, np.int32)])
-    digest = x["digest"][pick]
     lo = x["lo"][pick].astype(np.int32)
-    key = np.frombuffer(digest.tobytes(), np.int64)[::2]
-    fixed = pa.Array.from_buffers(pa.binary(16), len(pick), [None, pa.py_buffer(digest.tobytes())]).cast(pa.binary())
-    columns = [fixed, pa.array(key), pa.array(lo), pa.array(lo + x["runs"][pick]), pa.array(lo + x["ahead"][pick]), pa.array(x["hash"][pick].view(np.int64)), pa.array(kind)]
+    return _found(x["digest"][pick], lo, lo + x["runs"][pick], lo + x["ahead"][pick], x["hash"][pick].view(np.int64), kind)
+
+
+def _found(digest: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, hash_: np.ndarray, kind: np.ndarray) -> pa.Table:
+    raw = digest.tobytes()
+    fixed = pa.Array.from_buffers(pa.binary(16), len(digest), [None, pa.py_buffer(raw)]).cast(pa.binary())
+    columns = [fixed, pa.array(np.frombuffer(raw, np.int64)[::2]), pa.array(lo), pa.array(hi.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(hash_), pa.array(kind)]
     return pa.table(columns, schema=_FOUND_ARROW)
 
 
