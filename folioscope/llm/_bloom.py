@@ -28,13 +28,13 @@ def positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One packed block of bits for each block that a task's keys touch."""
-    have = np.zeros(1 << LOG_BITS, bool)
+    have = np.zeros(1 << LOG_BITS >> 3, np.uint8)
     for batch in batches:
-        a, b = positions(batch.column(0).to_numpy(zero_copy_only=False))
-        have[a] = have[b] = True
-    blocks = have.reshape(-1, 1 << _LOG_BLOCK)
+        for at in positions(batch.column(0).to_numpy(zero_copy_only=False)):
+            np.bitwise_or.at(have, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+    blocks = have.reshape(-1, 1 << _LOG_BLOCK >> 3)
     for k in np.flatnonzero(blocks.any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([np.packbits(blocks[k]).tobytes()], pa.binary())], ["block", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "bits"])
 
 
 def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,16 @@ whatever the Arrow batch holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+_libc = ctypes.CDLL(None)
+
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: One odd-ish random 64-bit value for each byte value.
@@ -77,6 +80,15 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    release()
+
+
+def release() -> None:
+    """Gives back to the system what freed arrays and batches have left with the allocators of a long-lived worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

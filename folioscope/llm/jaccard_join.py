@@ -46,7 +46,7 @@ N = 4
 PERCENT = 85
 FRAGMENTS = 8
 #: N-grams are counted in runs of texts with so many of them; those that a run holds once count as rare there.
-COUNTED_TOGETHER = 1 << 22
+COUNTED_TOGETHER = 1 << 20
 #: The order's table of frequent n-grams: at least so frequent, at most so many.
 FREQUENT = 16
 MOST_FREQUENT = 1 << 17

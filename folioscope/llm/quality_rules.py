@@ -147,17 +147,18 @@ def ablations(entries: DataFrame, version: str = "v1") -> DataFrame:
 def filter_documents(docs: DataFrame, version: str = "v1") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns, judged in place (no join)."""
     names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("t"))
-    schema = inner.select("row").schema
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     fields = "".join(f", {x} long" for x in _FIELDS)
-    out_schema = f"row {schema['row'].dataType.simpleString()}{fields}"
-    judged = apply_policy(_with_bits(inner.select("row", "t").mapInArrow(_measure_rows, out_schema)), version)
+    out_schema = f"row {inner.schema['row'].dataType.simpleString()}{fields}"
+    judged = apply_policy(_with_bits(inner.mapInArrow(_measure_rows, out_schema)), version)
     return judged.filter("kept").select("row.*")
 
 
 def _measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for out in measure(iter([batch])):
+        rows = batch.column(0)
+        texts = rows.flatten()[rows.type.get_field_index("text")]
+        for out in measure(iter([pa.RecordBatch.from_arrays([rows, texts], ["row", "t"])])):
             yield pa.RecordBatch.from_arrays(out.columns, ["row", *_FIELDS])
 
 
