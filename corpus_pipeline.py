@@ -5,7 +5,8 @@ returns is written as Parquet and read again as the next stage's ``docs``.  All
 the last return the columns of ``documents``.
 
 1. quality_rules: documents that the policy rejects go.
-2. jaccard_join: of each group of near copies the one with the smallest id stays.
+2. jaccard_join: of each group of near copies (``NEAR_WORDS``-word shingles, similarity of
+   ``NEAR_PERCENT`` % or more) the one with the smallest id stays.
 3. decontamination: documents that hold a benchmark window go.
 4. secret_scans: secrets are replaced by marks of their kind.
 5. best_fit_packing: the rest is tokenized and packed.
@@ -21,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscope.llm import _store, decontaminate, jaccard_join, packing, quality_rules, secrets
 
 ORACLE_SQL = None
+#: Near copies of the corpus; the query op6 has limits of its own.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
