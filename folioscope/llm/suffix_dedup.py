@@ -43,6 +43,7 @@ GRAM = 32
 BUCKET_BYTES = 12 << 20
 #: Longer texts are scanned in overlapping pieces of this size.
 PIECE = 8 << 20
+#: Positions share a word with the hash, so ``anchors`` takes at most so many bytes at once, and one.
 _POS = np.uint64((1 << 24) - 1)
 
 _COVERED, _OPEN, _SOURCE = 0, 1, 2
@@ -131,6 +132,22 @@ def _direct(records: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([records.tobytes()], pa.binary())], ["bucket", "packed"])
 
 
+def _anchors_of(pieces: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """``anchors``, pieces and starts in their texts, of as many pieces together as positions have room for."""
+    sizes = [len(p) for _, _, p in pieces]
+    a = 0
+    while a < len(pieces):
+        b, size = a + 1, sizes[a]
+        while b < len(pieces) and size + sizes[b] <= int(_POS) + 1:
+            size += sizes[b]
+            b += 1
+        offsets = np.cumsum([0, *sizes[a:b]])
+        h, c, anchor, lo, hi = anchors(np.frombuffer(b"".join(p for _, _, p in pieces[a:b]), np.uint8), offsets)
+        row = np.searchsorted(offsets, lo, "right") - 1
+        yield h, c, anchor, lo, hi, row + a, np.array([base for _, base, _ in pieces[a:b]], np.int64)[row] + lo - offsets[row]
+        a = b
+
+
 def _flush(texts: list[tuple[bytes, bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
     """Anchors of some texts, packed by column, a row for each bucket.
 
@@ -139,11 +156,8 @@ def _flush(texts: list[tuple[bytes, bytes]], buckets: int) -> Iterator[pa.Record
     third of all texts hold costs one entry for each call.
     """
     pieces = [(digest, base, text[base : base + PIECE + SPAN - 1]) for digest, text in texts for base in range(0, max(1, len(text) - SPAN + 1), PIECE)]
-    offsets = np.cumsum([0, *(len(p) for _, _, p in pieces)])
-    h, c, anchor, lo, hi = anchors(np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8), offsets)
-    row = np.searchsorted(offsets, lo, "right") - 1
+    h, c, anchor, lo, hi, row, start = map(np.concatenate, zip(*_anchors_of(pieces), strict=True))
     digests = np.frombuffer(b"".join(d for d, _, _ in pieces), "V16")[row]
-    start = np.array([b for _, b, _ in pieces], np.int64)[row] + lo - offsets[row]
     alike = np.lexsort((c, h))
     new = np.ones(len(h), bool)
     new[1:] = (h[alike[1:]] != h[alike[:-1]]) | (c[alike[1:]] != c[alike[:-1]])
