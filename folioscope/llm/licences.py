@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line of a text with a word.  Its features are hashed word 1- and
+A paragraph is a line of a text with a word; notices that are wrapped over several
+lines are looked for in a second view, in runs of such lines.  A paragraph's features are hashed word 1- and
 2-grams, scaled by the root of their number; a softmax regression, trained in
 numpy, gives a probability for each licence family, for ``unknown`` (talk of
 licences that names no known family) and for ``none``.  A temperature fitted on
@@ -9,6 +10,12 @@ held-out examples calibrates it, and what it then calls a family with less than
 when the paragraph holds enough of one of the family's templates, in order of
 words; unconfirmed predictions count as ``unknown``.
 
+The second view holds each ``SPANS`` of consecutive lines, and each whole run of lines
+between lines without a word.  Only families that such a stretch confirms count, the
+shortest and surest first, where no line or stretch in it holds that family
+already; the unconfirmed lines in it are part of the notice then.  A stretch is
+numbered by its first line.
+
 The training paragraphs are made by rule, with a fixed seed: templates with words
 dropped, names and years put in and words around them, licence talk, and prose of
 common and invented words (``PER_CLASS`` of each class); no row is read for it.
@@ -38,6 +45,8 @@ PER_CLASS = 240
 CONFIDENT = 0.6
 CONFIRMED = 0.7
 STEPS = 150
+#: Lines of the stretches in which wrapped notices are looked for.
+SPANS = (2, 3, 4, 6, 8)
 
 #: Notices of each family: fixed values, quoted from the licences' own short forms.
 TEMPLATES = {
@@ -151,6 +160,80 @@ def _hash(word: str) -> int:
 _STOP_HASHES = np.array(sorted(map(_hash, _STOP)), np.uint64)
 
 
+@dataclass(frozen=True)
+class Words:
+    """The words of some lines, what a model makes of each of them and of each with the next."""
+
+    first: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+
+    @staticmethod
+    def of(data: np.ndarray, lines: np.ndarray, model: Model) -> Words:
+        low = tx.LOWER[data]
+        starts, ends, first = tx.words(low, lines, tx.ALNUM)
+        word = tx.run_hashes(low, starts, ends)
+        telling = _STOP_HASHES[np.minimum(np.searchsorted(_STOP_HASHES, word), len(_STOP_HASHES) - 1)] != word
+        one, two = np.where(telling, model.find(word), -1), np.full(len(word), -1)
+        if len(word) > 1:
+            two[:-1] = np.where(telling[:-1] | telling[1:], model.find(tx.gram_hashes(word, 2)[: len(word) - 1]), -1)
+        return Words(first, one, two)
+
+    def sums(self, value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums of the features' values over lines a to b - 1, each taken as one paragraph."""
+        pad = np.concatenate([value, np.zeros_like(value[:1])])  # feature -1 is worth nothing
+        i, j = self.first[a], self.first[b]
+        single, double = (np.concatenate([np.zeros_like(pad[:1], np.float64), np.cumsum(pad[x], axis=0, dtype=np.float64)]) for x in (self.one, self.two))
+        return single[j] - single[i] + double[np.maximum(j - 1, i)] - double[i]
+
+
+def _stretches(n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line behind) of all stretches of two lines or more."""
+    full = n > 0
+    begins = full.copy()
+    begins[1:] &= ~full[:-1] | (row[1:] != row[:-1])
+    begin = np.flatnonzero(begins)
+    behind = full.copy()
+    behind[:-1] &= ~full[1:] | (row[1:] != row[:-1])
+    end = np.flatnonzero(behind) + 1
+    line = np.flatnonzero(full)
+    limit = np.repeat(end, end - begin)
+    parts = [(line[line + k <= limit], line[line + k <= limit] + k) for k in SPANS]
+    long = (end - begin > 1) & ~np.isin(end - begin, SPANS)
+    parts.append((begin[long], end[long]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _wrapped(model: Model, data: np.ndarray, lines: np.ndarray, n: np.ndarray, row: np.ndarray, held: dict[int, set[str]]) -> list[tuple[int, int, str, float]]:
+    """(first line, line behind, family, probability) of notices over several lines; ``held`` has the families that lines confirm."""
+    a, b = _stretches(n, row)
+    if not len(a):
+        return []
+    words = Words.of(data, lines, model)
+    size = words.first[b] - words.first[a]
+    share = 1 / np.sqrt(2 * size - 1)
+    lead = (model.weight - model.weight[:, :1]).max(axis=1)
+    may = words.sums(lead, a, b) * share + (model.bias - model.bias[0]).max() >= -1e-6
+    a, b, share = a[may], b[may], share[may]
+    if not len(a):
+        return []
+    p = model.probabilities(words.sums(model.weight, a, b) * share[:, None] + model.bias)
+    best = p.argmax(axis=1)
+    sure = p[np.arange(len(p)), best]
+    named = np.flatnonzero((best > 1) & (sure >= CONFIDENT))
+    found = []
+    taken = {line: set(families) for line, families in held.items()}
+    for x in named[np.lexsort((a[named], -sure[named], (b - a)[named]))].tolist():
+        family, own = CLASSES[best[x]], range(int(a[x]), int(b[x]))
+        if any(family in taken.get(line, ()) for line in own):
+            continue
+        if confirms(family, _tokens(data[lines[own.start] : lines[own.stop]].tobytes().decode("utf-8", "replace"))):
+            found.append((own.start, own.stop, family, float(sure[x])))
+            for line in own:
+                taken.setdefault(line, set()).add(family)
+    return found
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, lines, words of each line) of the 1- and 2-grams."""
     low = tx.LOWER[data]
@@ -268,8 +351,8 @@ def _tell(family: str, template: tuple[str, ...]) -> frozenset[str]:
 
 _TELLING = {family: {t: _tell(family, t) for t in texts} for family, texts in _SPELLED.items()}
 
-_FLAG = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
-_FLAG_SQL = "array<struct<paragraph:bigint,family:string,probability:double,confirmed:boolean>>"
+_FLAG = pa.list_(pa.struct([("paragraph", pa.int64()), ("lines", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
+_FLAG_SQL = "array<struct<paragraph:bigint,lines:bigint,family:string,probability:double,confirmed:boolean>>"
 
 
 def _scanner(model):
@@ -288,8 +371,8 @@ def _scanner(model):
                 counts.append(np.bincount(row, n > 0, len(offsets) - 1).astype(np.int64))
                 order = np.concatenate([[0], np.cumsum(n > 0)])
                 some = np.flatnonzero((m.bound(gram, line, n) >= 0) & (n > 0))
-                if not len(some):
-                    continue
+                begin = np.searchsorted(lines, offsets[row])  # the first line of each line's row
+                flagged: list[tuple[int, int, str, float, bool]] = []
                 place = np.full(len(n), -1)
                 place[some] = np.arange(len(some))
                 mine = place[line] >= 0
@@ -300,8 +383,12 @@ def _scanner(model):
                     if family != "unknown" and sure < CONFIDENT:
                         family = "unknown"
                     held = family != "unknown" and confirms(family, _tokens(data[lines[at] : lines[at + 1]].tobytes().decode("utf-8", "replace")))
-                    begin = int(np.searchsorted(lines, offsets[row[at]]))
-                    flags[i + int(row[at])].append({"paragraph": int(order[at] - order[begin]), "family": family, "probability": sure, "confirmed": held})
+                    flagged.append((at, at + 1, family, sure, held))
+                wrapped = _wrapped(m, data, lines, n, row, {at: {family} for at, _, family, _, held in flagged if held})
+                inside = {at for a, b, _, _ in wrapped for at in range(a, b)}
+                flagged = [f for f in flagged if f[4] or f[0] not in inside] + [(*w, True) for w in wrapped]
+                for at, behind, family, sure, held in sorted(flagged):
+                    flags[i + int(row[at])].append({"paragraph": int(order[at] - order[begin[at]]), "lines": behind - at, "family": family, "probability": sure, "confirmed": held})
             n_lines = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(flags, _FLAG)], ["row", "n_paragraphs", "flagged"])
 
@@ -309,7 +396,7 @@ def _scanner(model):
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(row, n_paragraphs, flagged): each flagged paragraph's number, family, calibrated probability and confirmation."""
+    """(row, n_paragraphs, flagged): each flagged paragraph's number, lines, family, calibrated probability and confirmation."""
     shipped = docs.sparkSession.sparkContext.broadcast(model or train())
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string"))
     return source.mapInArrow(_scanner(shipped), f"row {source.schema['row'].dataType.simpleString()}, n_paragraphs long, flagged {_FLAG_SQL}")
