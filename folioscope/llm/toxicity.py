@@ -1,7 +1,7 @@
 """Toxicity by subword bags: n-gram embeddings averaged into a linear softmax.
 
 A text's features are its byte n-grams (``SIZES``), each within one word and the
-space on either side of it, lower-cased, hashed to ``2**LOG_BUCKETS`` buckets.
+space on either side of it (the shortest ones in short words only; every word has some), lower-cased, hashed to ``2**LOG_BUCKETS`` buckets.
 Each bucket has an embedding; a text is the mean of its features' embeddings, and
 a linear softmax over that mean gives the score.  Embeddings and softmax are
 trained jointly, in numpy, by Adam over the whole sample, so a misspelling that
@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 
 from . import _text as tx
 
-SIZES = (5, 6, 7)
+SIZES = (3, 4, 5, 6, 7)
+#: Sizes under ``LONG`` are of words of at most so many bytes: what these keep when an inner letter is changed.
+SHORT_WORD = 5
+LONG = 5
 LOG_BUCKETS = 20
 #: Buckets that fewer texts of the sample hold have no embedding.
 LEAST_TEXTS = 3
@@ -65,10 +68,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     spaces = np.zeros(n + 1, np.int32)
     np.cumsum(text == _SPACE, out=spaces[1:])
     starts = offsets + shift - 1  # the space before each row
+    bounds = np.flatnonzero(text == _SPACE)
+    length = np.repeat(np.diff(bounds), np.diff(bounds)) - 1  # of the word that follows or holds each byte
     for size in SIZES:
         if n < size:
             continue
         at = np.flatnonzero(spaces[size - 1 : n] - spaces[1 : n - size + 2] == 0)  # spaces at the ends only
+        if size < LONG:
+            at = at[length[at + 1] <= SHORT_WORD]
         h = tx.mix((total[at + size] - total[at]) * tx.power(tx._BASE_INV, n + 1)[at] + np.uint64(size))
         yield (h >> np.uint64(64 - LOG_BUCKETS)).astype(np.int32), np.searchsorted(starts, at, "right") - 1
 
