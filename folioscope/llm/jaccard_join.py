@@ -9,6 +9,10 @@ rest of a set can make up what is missing (prefix overlap filter), and have like
 sizes (length filter); the first n-gram that they share leaves room for the rest
 (position filter); pairs that pass become candidates.
 
+N-grams are counted over all sets before they are ordered: a text's own n-grams
+come before those that it shares with its near copies, so that prefixes of texts
+that are alike, but not linked, meet seldom.
+
 The global order is cut into fragments, each set into its pieces in them; the
 overlap of a candidate pair is counted fragment by fragment and summed per pair.
 
@@ -45,11 +49,12 @@ from ._bloom import bloom
 N = 4
 PERCENT = 85
 FRAGMENTS = 8
-#: N-grams are counted in runs of texts with so many of them; those that a run holds once count as rare there.
+#: N-grams are pre-aggregated in runs of texts with so many of them, and counted in buckets of about so many.
 COUNTED_TOGETHER = 1 << 20
-#: The order's table of frequent n-grams: at least so frequent, at most so many.
-FREQUENT = 16
-MOST_FREQUENT = 1 << 17
+BUCKET_GRAMS = 1 << 22
+#: The order's table of frequent n-grams: at least so frequent, at most so many (8 MB).
+FREQUENT = 8
+MOST_FREQUENT = 1 << 20
 #: Members of a frequent n-gram's posting list for each grain of salt.
 PER_SALT = 4096
 
@@ -119,28 +124,42 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def short_keys(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and upper half of each n-gram's hash: what it is counted by, and known by in the order."""
+    return gram % np.uint64(buckets) << np.uint64(32) | gram >> np.uint64(32)
+
+
 class Order:
-    """The global order of n-grams: by hash, the frequent ones last by frequency."""
+    """The global order of n-grams: by hash, the frequent ones last by frequency.
+
+    Any order that depends on the n-gram alone is exact, so that two n-grams may
+    share a short key.
+    """
 
-    def __init__(self, frequent: dict[int, int]):
-        ranked = sorted(frequent.items(), key=lambda x: (x[1], x[0]))
-        self._gram = np.array([g for g, _ in ranked], np.int64).view(np.uint64)
-        self._by = np.argsort(self._gram)
-        self._sorted = self._gram[self._by]
-        self._salts = np.array([max(1, n // PER_SALT) for _, n in ranked], np.int64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, buckets: int):
+        by_key = np.argsort(keys)
+        self._sorted, counts, self._buckets = keys[by_key], counts[by_key], buckets
+        self._by = np.empty(len(keys), np.int32)
+        order = np.lexsort((self._sorted, counts))
+        self._by[order] = np.arange(len(keys), dtype=np.int32)
+        self._salts = np.maximum(1, counts[order] // PER_SALT).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self._sorted)
 
     def rank(self, gram: np.ndarray) -> np.ndarray:
         """Rank among the frequent n-grams, or -1."""
         if not len(self._sorted):
             return np.full(len(gram), -1, np.int64)
-        at = np.minimum(np.searchsorted(self._sorted, gram), len(self._sorted) - 1)
-        return np.where(self._sorted[at] == gram, self._by[at], -1)
+        key = short_keys(gram, self._buckets)
+        at = np.minimum(np.searchsorted(self._sorted, key), len(self._sorted) - 1)
+        return np.where(self._sorted[at] == key, self._by[at], -1).astype(np.int64)
 
     def arrange(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An ascending set in the global order, and its ranks."""
         rank = self.rank(gram)
         often = rank >= 0
-        late = np.argsort(rank[often])
+        late = np.argsort(rank[often], kind="stable")
         return np.concatenate([gram[~often], gram[often][late]]), np.concatenate([rank[~often], rank[often][late]])
 
     def salts(self, rank: np.ndarray) -> np.ndarray:
@@ -162,8 +181,11 @@ def _digests(sets: Sets):
     return run
 
 
-def _common_grams(sets: Sets):
-    """N-grams that several sets of a run of texts hold, with how many: what the order's frequencies are summed from."""
+_COUNTS = "bucket long, once binary, several binary, times binary"
+
+
+def _packed_counts(sets: Sets, buckets: int):
+    """The n-grams of runs of texts, by bucket: those that a run holds once, and those that it holds several times with how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -171,17 +193,42 @@ def _common_grams(sets: Sets):
             held += [gram[first[r] : first[r + 1]] for r in fresh]
             size += sum(len(x) for x in held[-len(fresh) :])
             if size >= COUNTED_TOGETHER:
-                yield _several(held)
+                yield _by_bucket(held, buckets)
                 held, size = [], 0
         if held:
-            yield _several(held)
+            yield _by_bucket(held, buckets)
 
     return run
 
 
-def _several(held: list[np.ndarray]) -> pa.RecordBatch:
-    key, count = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key[count > 1].view(np.int64)), pa.array(count[count > 1])], ["gram", "n"])
+def _by_bucket(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    key, count = np.unique(short_keys(np.concatenate(held), buckets), return_counts=True)
+    bucket, half, once = key >> np.uint64(32), key.astype(np.uint32), count == 1
+    numbers, begin = np.unique(bucket, return_index=True)
+    out: list[tuple[bytes, bytes, bytes]] = []
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+        one = once[a:b]
+        out.append((half[a:b][one].tobytes(), half[a:b][~one].tobytes(), count[a:b][~one].astype(np.uint32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], ["bucket", "once", "several", "times"])
+
+
+def _count_bucket(table: pa.Table) -> pa.Table:
+    """One bucket's frequent n-grams, with the number of sets that hold them."""
+    once, several, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("once", "several", "times"))
+    single = np.sort(once)
+    begin = np.flatnonzero(np.concatenate([[True], single[1:] != single[:-1]])) if len(single) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(begin, len(single)))
+    single = single[begin]
+    more, at = np.unique(several, return_inverse=True)
+    total = np.bincount(at, times, len(more)).astype(np.int64)
+    if len(single):
+        where = np.minimum(np.searchsorted(single, more), len(single) - 1)
+        total += np.where(single[where] == more, runs[where], 0)
+    alone = (runs >= FREQUENT) & ~np.isin(single, more)
+    often = total >= FREQUENT
+    half, count = np.concatenate([more[often], single[alone]]), np.concatenate([total[often], runs[alone]])
+    key = table.column("bucket")[0].as_py() << 32 | half.astype(np.int64)
+    return pa.table({"key": pa.array(key, pa.int64()), "n": pa.array(count, pa.int64())})
 
 
 _POSTING = "gram long, salt int, node long, size int, place int"
@@ -295,9 +342,12 @@ class Join:
             self.keys = _store.pin(self.docs.mapInArrow(_digests(self.sets), "doc_id long, n long, node long, half long"), "keys")
 
     def order(self) -> Order:
-        grams = self.text.mapInArrow(_common_grams(self.sets), "gram long, n long")
-        often = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-        return Order({r.gram: r.n for r in often.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()})
+        """Counts every n-gram of every set, and keeps the most frequent ones."""
+        buckets = 1 + (self.keys.agg(F.sum("n")).first()[0] or 0) // BUCKET_GRAMS
+        counts = self.text.mapInArrow(_packed_counts(self.sets, buckets), _COUNTS)
+        often = counts.groupBy("bucket").applyInArrow(_count_bucket, "key long, n long")
+        top = often.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow()
+        return Order(top.column("key").to_numpy().astype(np.uint64), top.column("n").to_numpy(), buckets)
 
     def lists(self, order) -> DataFrame:
         """(gram, node, size, place): the posting lists that have two members or more, written once."""
@@ -325,16 +375,24 @@ class Join:
         return shared.groupBy("node").agg(F.max_by("hub", "count").alias("b")).select(F.col("node").alias("a"), "b")
 
     def cross_pairs(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
-        """All candidate pairs whose ends lie in different components."""
+        """All candidate pairs whose ends lie in different components.
+
+        N-grams whose lists have the same members bring the same pairs, so one of
+        them stands for all, with the earliest place that each member has among them.
+        """
         own = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-        own = _store.pin(own.join(mixed, "gram"), "mixed-lists")
-        x = own.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "comp")])
-        y = own.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "comp")])
+        alike = [F.count(F.lit(1)).alias("members"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"digest{k}") for k in range(2))]
+        mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *alike).filter("lo <> hi").drop("lo", "hi")
+        same = ["members", "digest0", "digest1"]
+        named = mixed.join(mixed.groupBy(*same).agg(F.min("gram").alias("list")), same).select("gram", "list")
+        own = own.join(named, "gram").groupBy("list", "node").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("comp").alias("comp"), F.collect_set("gram").alias("grams"))
+        own = _store.pin(own, "mixed-lists")
+        x = own.select("list", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "comp")])
+        y = own.select("list", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "comp")])
         both = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & _like_sizes("x_size", "y_size", self.percent)
         both = both & _early("x_size", "x_place", "y_size", self.percent) & _early("y_size", "y_place", "x_size", self.percent)
-        pairs = x.join(y, "gram").filter(both).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_size", "y_size").distinct()
-        prefix = own.groupBy("node").agg(F.collect_set("gram").alias("grams"))  # a prefix is as short as its text asks for
+        pairs = x.join(y, "list").filter(both).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_size", "y_size").distinct()
+        prefix = own.groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams"))  # a prefix is as short as its text asks for
         known = pairs.join(prefix.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(prefix.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
         known = known.withColumn("count", F.size(F.array_intersect("left", "right")))
         return known.filter(_shared_enough("x_size", "y_size", "count", self.percent)).select("a", "b")
