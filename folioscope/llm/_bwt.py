@@ -2,13 +2,16 @@
 
 Each string is taken as a cycle closed by a terminator that sorts before all
 bytes, so rows are rotations and the terminators' rows follow from the strings.
+A symbol is ``step`` bytes, packed into one word in their order, so a transform
+holds for each row the ``step`` bytes in front of its rotation.
 
 ``transform`` sorts one shard's rotations by prefix doubling.  ``merge`` never
 sorts rotations again: it starts from "all rows of shard 0, then of shard 1, ..."
-and refines that interleave, in each step stably dealing the shards' rows out by
-the byte in front of them.  After k steps the interleave is that of the rows'
-first k bytes, and a boundary that appears in step k lies between rows that have
-k - 1 bytes in common: the common prefixes come for free.
+and refines that interleave, in each round stably dealing the shards' rows out by
+the symbol in front of them.  After r rounds the interleave is that of the rows'
+first r symbols, and a boundary that appears in round r lies between rows that
+have r - 1 symbols in common: the common prefixes come for free, to the byte
+from the two rows' r-th symbols.
 """
 
 from __future__ import annotations
@@ -17,98 +20,166 @@ from dataclasses import dataclass
 
 import numpy as np
 
+_POSITION = np.uint64((1 << 32) - 1)
+
 
 @dataclass(frozen=True)
 class Shard:
-    """Rows in order: the byte in front of each rotation (0 for the terminator), and where the rotation begins."""
+    """Rows in order: the symbol in front of each rotation, its first symbol, its string's number and where it begins."""
+
+    front: np.ndarray
+    head: np.ndarray
+    string: np.ndarray
+    at: np.ndarray
+
+
+@dataclass(frozen=True)
+class Alphabet:
+    """Byte values in use, in order from 1; a symbol packs ``step`` of them, ``bits`` each."""
+
+    code: np.ndarray
+    bits: int
+    step: int
+
+
+def alphabet(strings: list[bytes]) -> Alphabet:
+    used = np.zeros(256, bool)
+    for s in strings:
+        used[np.frombuffer(s, np.uint8)] = True
+    code = np.cumsum(used).astype(np.uint64)
+    bits = max(1, int(code[-1]).bit_length())
+    return Alphabet(code, bits, 62 // bits)
 
-    front: np.ndarray  # uint16
-    string: np.ndarray  # the string's number
-    at: np.ndarray  # the position within that string
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank among the distinct keys, stable order) of each key."""
+    order = np.argsort(key, kind="stable")
+    new = np.zeros(len(key), np.int32)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank, order
 
-def transform(strings: list[bytes], numbers: list[int], depth: int) -> Shard:
-    """A shard's transform, with rotations ordered by at least their first ``depth`` symbols."""
+
+def transform(strings: list[bytes], numbers: list[int], depth: int, letters: Alphabet | None = None) -> Shard:
+    """A shard's transform, with rotations ordered by at least their first ``depth`` bytes."""
+    letters = letters or alphabet(strings)
     sizes = np.array([len(s) + 1 for s in strings], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    text = np.zeros(int(sizes.sum()), np.uint16)
-    for s, b in zip(strings, begin.tolist(), strict=True):
-        text[b : b + len(s)] = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
-    n = len(text)
-    follow = np.arange(1, n + 1)
-    follow[begin + sizes - 1] = begin
-    rank, width = text.astype(np.int64), 1
-    order = np.argsort(text, kind="stable")
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    n = int(ends[-1]) if len(ends) else 0
+    code = np.zeros(n, np.uint64)
+    inner = np.ones(n, bool)
+    inner[ends - 1] = False
+    code[inner] = letters.code[np.frombuffer(b"".join(strings), np.uint8)]
+    own = np.repeat(np.arange(len(strings)), sizes)
+    first, size = begin[own], sizes[own]
+    place = np.arange(n) - first
+    head = np.zeros(n, np.uint64)
+    for k in range(letters.step):
+        head = head << np.uint64(letters.bits) | code[first + (place + k) % size]
+    rank, order = _ranked(head)
+    width = letters.step
+    follow = first + (place + width) % size
     while width < depth:
-        key = rank * (int(rank.max()) + 1) + rank[follow]
-        order = np.argsort(key, kind="stable")
-        step = np.empty(n, np.int64)
-        step[0] = 0
-        step[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
+        rank, order = _ranked(rank.astype(np.int64) * (int(rank.max()) + 1) + rank[follow])
         follow, width = follow[follow], 2 * width
-    ahead = np.arange(-1, n - 1)
-    ahead[begin] = begin + sizes - 1
-    own = np.repeat(np.arange(len(strings)), sizes)[order]
-    return Shard(text[ahead[order]], np.array(numbers, np.int64)[own], order - begin[own])
+    front = head[first + (place - letters.step) % size]
+    return Shard(front[order], head[order], np.array(numbers, np.int32)[own[order]], place[order].astype(np.int32))
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[Shard, np.ndarray]:
-    """The shards' common transform, and for each row the prefix it shares with the row before, up to ``depth``."""
+def merge(shards: list[Shard], depth: int, letters: Alphabet) -> tuple[Shard, np.ndarray]:
+    """The shards' common transform, and for each row the prefix it shares with the row before, up to ``depth`` bytes."""
     sizes = [len(s.front) for s in shards]
     n = sum(sizes)
     front = np.concatenate([s.front for s in shards])
-    kind = np.uint8 if len(shards) < 256 else np.uint16
-    which = np.repeat(np.arange(len(shards), dtype=kind), sizes)
+    rank = np.unique(front, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)  # every symbol is in front of some row
+    which = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), sizes)
     block = np.zeros(n, np.int32)
-    shared = np.full(n, depth, np.int32)
-    shared[:1] = 0
-    for step in range(1, depth + 1):
-        symbol = np.empty(n, np.uint16)
-        symbol[np.argsort(which, kind="stable")] = front
-        order = np.argsort(symbol, kind="stable")
-        symbol, block, moved = symbol[order], block[order], which[order]
-        new = np.zeros(n, np.int32)
+    fresh = np.full(n, -1, np.int32)  # the round in which a row parted from the one before
+    fresh[:1] = 0
+    at = np.arange(n, dtype=np.uint64)
+    rounds = -(-depth // letters.step)
+    for r in range(rounds):
+        symbol = np.empty(n, np.uint64)
+        symbol[np.argsort(which, kind="stable")] = rank
+        order = np.sort(symbol | at)  # stable, as places break ties
+        symbol, order = order >> np.uint64(32), (order & _POSITION).astype(np.int32)
+        block, which = block[order], which[order]
+        new = np.zeros(n, bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        shared[(new > 0) & (shared == depth)] = step - 1
+        fresh[new & (fresh < 0)] = r
         block = np.cumsum(new, dtype=np.int32)
-        which = moved
         if n and block[-1] == n - 1:
             break  # every row stands alone
     by_shard = np.argsort(which, kind="stable")
     out = []
-    for name in ("front", "string", "at"):
+    for name in ("front", "head", "string", "at"):
         column = np.concatenate([getattr(s, name) for s in shards])
         merged = np.empty_like(column)
         merged[by_shard] = column
         out.append(merged)
-    return Shard(*out), shared
+    whole = Shard(*out)
+    return whole, _common_bytes(whole, fresh, depth, letters)
+
+
+def _common_bytes(rows: Shard, fresh: np.ndarray, depth: int, letters: Alphabet) -> np.ndarray:
+    """Common prefixes in bytes: whole symbols of earlier rounds, and the bytes that agree in the symbols that part the rows."""
+    n = len(fresh)
+    place = np.zeros(int(rows.string.max()) + 2 if n else 1, np.int64)
+    sizes = np.bincount(rows.string, minlength=len(place) - 1)
+    np.cumsum(sizes, out=place[1:])
+    where = np.empty(n, np.int32)  # the row of each rotation
+    where[place[rows.string] + rows.at] = np.arange(n, dtype=np.int32)
+    shared = np.full(n, depth, np.int32)
+    shared[:1] = 0
+    parted = np.flatnonzero(fresh >= 0)
+    parted = parted[parted > 0]
+    symbols = []
+    for row in (parted - 1, parted):
+        string, skip = rows.string[row], fresh[parted] * letters.step
+        symbols.append(rows.head[where[place[string] + (rows.at[row] + skip) % sizes[string]]])
+    differ = symbols[0] ^ symbols[1]
+    top = np.frexp(differ.astype(np.float64))[1]  # bit length; rounding up to the next power only adds where all lower bits are set
+    exact = (differ >> np.maximum(top - 1, 0).astype(np.uint64)) == 0
+    top = top - exact
+    agree = letters.step - -(-top // letters.bits)
+    shared[parted] = np.minimum(fresh[parted] * letters.step + agree, depth)
+    return shared
+
 
+def repeated_starts(strings: list[bytes], span: int, copies: np.ndarray | None = None, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
+    """For each string the positions at which ``span`` bytes start that start elsewhere in the collection too.
 
-def repeated_starts(strings: list[bytes], span: int, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
-    """For each string the positions at which ``span`` bytes start that start elsewhere in the collection too."""
-    long = [k for k, s in enumerate(strings) if len(s) >= span]
+    ``copies``: strings that the collection holds several times enter the transforms twice.
+    """
     out = [np.zeros(0, np.int64) for _ in strings]
-    if not long:
+    twice = np.zeros(len(strings), bool) if copies is None else np.asarray(copies) > 1
+    entered = [k for k, s in enumerate(strings) if len(s) >= span for _ in range(1 + int(twice[k]))]
+    if not entered:
         return out
+    letters = alphabet([strings[k] for k in entered])
     shards, own, size = [], [], 0
-    for k in [*long, -1]:
+    for number, k in enumerate([*entered, -1]):
         if own and (k < 0 or size + len(strings[k]) > shard_bytes):
-            shards.append(transform([strings[x] for x in own], own, span))
+            shards.append(transform([strings[entered[x]] for x in own], own, span, letters))
             own, size = [], 0
         if k >= 0:
-            own.append(k)
+            own.append(number)
             size += len(strings[k]) + 1
-    rows, shared = merge(shards, span)
-    twice = shared >= span
-    twice[:-1] |= shared[1:] >= span
+    rows, shared = merge(shards, span, letters)
+    again = shared >= span
+    again[:-1] |= shared[1:] >= span
+    entered = np.array(entered, np.int64)
     lengths = np.array([len(s) for s in strings], np.int64)
-    hit = np.flatnonzero(twice & (rows.at + span <= lengths[rows.string]))
-    order = np.lexsort((rows.at[hit], rows.string[hit]))
-    string, at = rows.string[hit][order], rows.at[hit][order]
+    hit = np.flatnonzero(again)
+    string, at = entered[rows.string[hit]], rows.at[hit].astype(np.int64)
+    inside = at + span <= lengths[string]
+    width = int(lengths.max()) + 1
+    found = np.unique(string[inside] * width + at[inside])
+    string, at = found // width, found % width
     cut = np.flatnonzero(np.diff(string)) + 1
-    for group in np.split(np.arange(len(string)), cut):
-        if len(group):
-            out[int(string[group[0]])] = at[group]
+    for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(string)).tolist(), strict=True):
+        if b > a:
+            out[int(string[a])] = at[a:b]
     return out

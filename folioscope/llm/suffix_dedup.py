@@ -5,14 +5,17 @@ every span the least (the first of equals) is the span's anchor: equal spans hav
 equal anchors at equal distances.  A text's spans thereby fall into runs, each
 with one anchor and a context: the few hundred bytes that the run's spans cover.
 
-1. Anchors meet by hash.  A context found twice, at whatever place, repeats all
-   its spans; an anchor found in one context only is done with.
-2. What is left are anchors with several contexts: the edges of copies.  Their
-   contexts' bytes are fetched, cut down to what agrees, around the anchor, with
-   any other context of that anchor, and equal cuts are united.
-3. The suffixes of the cuts are compared by Burrows-Wheeler transforms: one for
-   each shard of cuts, merged by refining their interleave, which yields common
-   prefixes; rows with ``SPAN`` bytes in common are repeated intervals.
+1. Anchors meet by hash, which only deals contexts to the shards in which equal
+   spans must meet.  An anchor found once is done with.  Equal contexts are one
+   string of the collection, as equal texts are one text: its bytes are sent on
+   once, and it enters the transforms twice.
+2. The bytes of these strings are fetched.  A context found once is cut down to
+   what agrees, around the anchor, with any other context of that anchor, and
+   equal cuts are united.
+3. The strings' suffixes are compared by Burrows-Wheeler transforms: one for each
+   shard of strings, merged by refining their interleave, which yields common
+   prefixes; rows with ``SPAN`` bytes in common are the repeated intervals.
+4. What was found for a string holds wherever the string occurs.
 
 Texts are known by their 128-bit digests, so equal texts are worked on once and
 rows need no number.  A text met twice is repeated whole.
@@ -42,11 +45,16 @@ GRAM = 32
 #: Bytes of text whose anchors fall to one bucket, on average.
 BUCKET_BYTES = 12 << 20
 #: Longer texts are scanned in overlapping pieces of this size.
-PIECE = 8 << 20
+PIECE = 1 << 20
+#: Strings that are compared by one merge, in bytes; those of one anchor stay together.
+COLLECTION_BYTES = 1 << 20
+#: Repeated contexts that a task remembers, to send them on once.
+REMEMBERED = 1 << 18
 #: Positions share a word with the hash, so ``anchors`` takes at most so many bytes at once, and one.
 _POS = np.uint64((1 << 24) - 1)
 
-_COVERED, _OPEN, _SOURCE = 0, 1, 2
+#: An occurrence of a repeated context, a context found once, one of a repeated one's occurrences for its bytes, a repeated text.
+_COPY, _OPEN, _STRING, _WHOLE = 0, 1, 2, 3
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -112,8 +120,8 @@ def _key(digest: bytes) -> int:
 
 
 _PACK = (("hash", np.uint64), ("context", np.uint64), ("digest", np.dtype("V16")), ("lo", np.uint32), ("runs", np.uint8), ("ahead", np.uint8), ("many", np.uint8))
-#: Runs that are known to be repeated where they are found; runs of -1: the whole text.
-_DIRECT = np.dtype([("digest", "V16"), ("lo", "<u4"), ("runs", "<i2")])
+#: Occurrences of contexts that their task has sent on already; runs of -1: the whole text.
+_DIRECT = np.dtype([("digest", "V16"), ("lo", "<u4"), ("runs", "<i2"), ("hash", "<u8"), ("context", "<u8")])
 
 
 def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -138,7 +146,7 @@ def _anchors_of(pieces: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[np.nda
     a = 0
     while a < len(pieces):
         b, size = a + 1, sizes[a]
-        while b < len(pieces) and size + sizes[b] <= int(_POS) + 1:
+        while b < len(pieces) and size + sizes[b] <= min(int(_POS) + 1, 2 * PIECE):
             size += sizes[b]
             b += 1
         offsets = np.cumsum([0, *sizes[a:b]])
@@ -148,12 +156,13 @@ def _anchors_of(pieces: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[np.nda
         a = b
 
 
-def _flush(texts: list[tuple[bytes, bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
+def _flush(texts: list[tuple[bytes, bytes]], buckets: int, sent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Anchors of some texts, packed by column, a row for each bucket.
 
-    A context that these texts hold several times is repeated already: it is sent on
-    once, and its other runs needn't meet any.  So the inside of a passage that a
-    third of all texts hold costs one entry for each call.
+    A context that these texts hold several times, or that is among ``sent``, is repeated:
+    it is sent on once, and its other runs needn't meet any.  So the inside of a passage
+    that a third of all texts hold costs one entry for each task.  Returns the names of
+    the repeated contexts that it has sent on.
     """
     pieces = [(digest, base, text[base : base + PIECE + SPAN - 1]) for digest, text in texts for base in range(0, max(1, len(text) - SPAN + 1), PIECE)]
     h, c, anchor, lo, hi, row, start = map(np.concatenate, zip(*_anchors_of(pieces), strict=True))
@@ -163,12 +172,17 @@ def _flush(texts: list[tuple[bytes, bytes]], buckets: int) -> Iterator[pa.Record
     new[1:] = (h[alike[1:]] != h[alike[:-1]]) | (c[alike[1:]] != c[alike[:-1]])
     many = np.zeros(len(h), np.uint8)
     many[alike[new]] = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-    rest = alike[~new]
+    names = _names(h, c)
+    known = np.zeros(len(h), bool) if sent is None else np.isin(names, sent)
+    own = np.sort(alike[new])
+    rest = np.concatenate([alike[~new], own[known[own]]])
+    own = own[~known[own]]
     if len(rest):
         records = np.empty(len(rest), _DIRECT)
-        records["digest"], records["lo"], records["runs"] = digests[rest], start[rest], (hi - lo)[rest]
+        records["digest"], records["lo"], records["runs"], records["hash"], records["context"] = digests[rest], start[rest], (hi - lo)[rest], h[rest], c[rest]
         yield _direct(records, buckets)
-    own = np.sort(alike[new])
+    if not len(own):
+        return names[:0]
     bucket = (h[own] % np.uint64(buckets)).astype(np.int64)
     order = own[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket, kind="stable")
@@ -177,11 +191,16 @@ def _flush(texts: list[tuple[bytes, bytes]], buckets: int) -> Iterator[pa.Record
     ends = np.append(first[1:], len(order))
     blobs = [b"".join(x[a:b].tobytes() for x in columns) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
+    return names[own[many[own] > 0]]
+
+
+def _names(hash_: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return tx.mix(hash_ ^ context * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _emit_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, again = [], 0, []
+        held, size, again, sent = [], 0, [], np.zeros(0, np.uint64)
         for digest, text, twice in _distinct_texts(batches):
             if twice:
                 again.append(digest)
@@ -189,29 +208,31 @@ def _emit_anchors(buckets: int):
             held.append((digest, text))
             size += len(text)
             if size >= tx.SLICE_BYTES:
-                yield from _flush(held, buckets)
+                names = yield from _flush(held, buckets, sent)
+                if len(sent) < REMEMBERED:
+                    sent = np.union1d(sent, names)
                 held, size = [], 0
         if held:
-            yield from _flush(held, buckets)
+            yield from _flush(held, buckets, sent)
         if again:
-            records = np.empty(len(again), _DIRECT)
-            records["digest"], records["lo"], records["runs"] = np.frombuffer(b"".join(again), "V16"), 0, -1
+            records = np.zeros(len(again), _DIRECT)
+            records["digest"], records["runs"] = np.frombuffer(b"".join(again), "V16"), -1
             yield _direct(records, buckets)
 
     return run
 
 
-_FOUND = "digest binary, key long, lo int, hi int, anchor int, hash long, kind int"
-_FOUND_ARROW = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("anchor", pa.int32()), ("hash", pa.int64()), ("kind", pa.int32())])
+_FOUND = "digest binary, key long, lo int, hi int, anchor int, hash long, context long, kind int"
+_FOUND_ARROW = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("anchor", pa.int32()), ("hash", pa.int64()), ("context", pa.int64()), ("kind", pa.int32())])
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """One bucket's anchors: what is repeated already, and what must be looked at."""
+    """One bucket's anchors: the contexts of those that are found twice."""
     blobs = table.column("packed").to_pylist()
     if table.column("bucket")[0].as_py() < 0:
         known = np.frombuffer(b"".join(blobs), _DIRECT)
-        lo, zero = known["lo"].astype(np.int32), np.zeros(len(known), np.int32)
-        return _found(np.ascontiguousarray(known["digest"]), lo, lo + known["runs"], zero, zero.astype(np.int64), zero)
+        lo, kind = known["lo"].astype(np.int32), np.where(known["runs"] < 0, _WHOLE, _COPY).astype(np.int32)
+        return _found(np.ascontiguousarray(known["digest"]), lo, lo + known["runs"], np.zeros(len(known), np.int32), known["hash"], known["context"], kind)
     x = _unpack(blobs)
     order = np.lexsort((x["context"], x["hash"]))
     x = {k: v[order] for k, v in x.items()}
@@ -220,26 +241,25 @@ def _resolve(table: pa.Table) -> pa.Table:
     new_hash[1:] = x["hash"][1:] != x["hash"][:-1]
     new = new_hash.copy()
     new[1:] |= x["context"][1:] != x["context"][:-1]
-    kind_of = np.cumsum(new) - 1
-    group_of = np.cumsum(new_hash) - 1
-    members = np.bincount(kind_of, 1 + x["many"]).astype(np.int64)
-    several = np.bincount(group_of[new]) > 1
-    lonely = members[kind_of] == 1
-    has_open = np.bincount(group_of, lonely) > 0
-    kind = np.full(n, -1, np.int32)
-    kind[~lonely] = _COVERED
-    kind[lonely & several[group_of]] = _OPEN
-    source = np.flatnonzero(new & ~lonely & several[group_of] & has_open[group_of])  # one of each such context
-    pick = np.concatenate([np.flatnonzero(kind >= 0), source])
-    kind = np.concatenate([kind[kind >= 0], np.full(len(source), _SOURCE, np.int32)])
+    context = np.cumsum(new) - 1
+    group = np.cumsum(new_hash) - 1
+    twice = np.bincount(context, 1 + x["many"])[context] > 1
+    shared = np.bincount(group[new])[group] > 1
+    pick = np.concatenate([np.flatnonzero(twice | shared), np.flatnonzero(new & twice)])
+    kind = np.concatenate([np.where(twice, _COPY, _OPEN)[twice | shared], np.full(int((new & twice).sum()), _STRING)]).astype(np.int32)
     lo = x["lo"][pick].astype(np.int32)
-    return _found(x["digest"][pick], lo, lo + x["runs"][pick], lo + x["ahead"][pick], x["hash"][pick].view(np.int64), kind)
+    return _found(x["digest"][pick], lo, lo + x["runs"][pick], lo + x["ahead"][pick], x["hash"][pick], x["context"][pick], kind)
 
 
-def _found(digest: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, hash_: np.ndarray, kind: np.ndarray) -> pa.Table:
+def _fixed(digest: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Digests, and their first halves as join keys."""
     raw = digest.tobytes()
-    fixed = pa.Array.from_buffers(pa.binary(16), len(digest), [None, pa.py_buffer(raw)]).cast(pa.binary())
-    columns = [fixed, pa.array(np.frombuffer(raw, np.int64)[::2]), pa.array(lo), pa.array(hi.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(hash_), pa.array(kind)]
+    return pa.Array.from_buffers(pa.binary(16), len(digest), [None, pa.py_buffer(raw)]).cast(pa.binary()), pa.array(np.frombuffer(raw, np.int64)[::2])
+
+
+def _found(digest: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, hash_: np.ndarray, context: np.ndarray, kind: np.ndarray) -> pa.Table:
+    whole = [np.ascontiguousarray(x).view(np.int64) for x in (hash_, context)]
+    columns = [*_fixed(digest), pa.array(lo), pa.array(hi.astype(np.int32)), pa.array(anchor.astype(np.int32)), *map(pa.array, whole), pa.array(kind)]
     return pa.table(columns, schema=_FOUND_ARROW)
 
 
@@ -269,7 +289,7 @@ def _passed(held: list[tuple[bytes, bytes]], filter_) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keep], pa.binary()), pa.array([t for _, t in keep], pa.binary())], ["digest", "bytes"])
 
 
-_CONTEXT = "bucket long, digest binary, lo int, ahead int, hash long, kind int, bytes binary"
+_CONTEXT = "bucket long, digest binary, lo int, ahead int, hash long, context long, kind int, bytes binary"
 
 
 def _contexts(buckets: int):
@@ -284,68 +304,80 @@ def _contexts(buckets: int):
                     continue
                 done.add(digest)
                 for r in {(r["lo"], r["kind"]): r for r in asked}.values():
-                    out.append(((r["hash"] % 2**64) % buckets, digest, r["lo"], r["anchor"] - r["lo"], r["hash"], r["kind"], text[r["lo"] : r["hi"] + SPAN]))
+                    out.append(((r["hash"] % 2**64) % buckets, digest, r["lo"], r["anchor"] - r["lo"], r["hash"], r["context"], r["kind"], text[r["lo"] : r["hi"] + SPAN]))
             if out:
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "digest", "lo", "ahead", "hash", "kind", "bytes"])
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "digest", "lo", "ahead", "hash", "context", "kind", "bytes"])
 
     return run
 
 
-def _agreement(strings: list[bytes]) -> list[int]:
-    """For each string the longest prefix that it shares with any other."""
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    out = [0] * len(strings)
-    for x, y in zip(order, order[1:], strict=False):
-        a, b = strings[x], strings[y]
-        n = min(len(a), len(b))
-        if a[:n] != b[:n]:
-            low, high = 0, n  # a[:low] agrees, a[:high] doesn't
-            while high - low > 1:
-                mid = (low + high) // 2
-                if a[low:mid] == b[low:mid]:
-                    low = mid
-                else:
-                    high = mid
-            n = low
-        out[x], out[y] = max(out[x], n), max(out[y], n)
+#: Bytes to 1 .. 255, as UTF-8 has no 255; what is shorter is filled up with 0.
+_FROM_ONE = bytes([*range(1, 256), 255])
+
+
+def _agreement(strings: list[bytes], group: np.ndarray) -> np.ndarray:
+    """For each string the longest prefix that it shares with any other of its group."""
+    n = len(strings)
+    out = np.zeros(n, np.int64)
+    padded = np.array([s.translate(_FROM_ONE) for s in strings], "S")
+    order = np.lexsort((padded, group))
+    sizes = np.array([len(s) for s in strings], np.int64)[order]
+    table, group = padded[order].view(np.uint8).reshape(n, -1), group[order]
+    differ = table[1:] != table[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), table.shape[1])
+    common = np.minimum(common, np.minimum(sizes[1:], sizes[:-1])) * (group[1:] == group[:-1])
+    most = np.zeros(n, np.int64)
+    most[1:] = common
+    most[:-1] = np.maximum(most[:-1], common)
+    out[order] = most
     return out
 
 
-_RANGES = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+_RANGES = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("hash", pa.int64()), ("context", pa.int64())])
+_RANGES_SQL = "digest binary, key long, lo int, hi int, hash long, context long"
 
 
 def _edges(table: pa.Table) -> pa.Table:
-    """One bucket's contexts: the repeated spans of those that are open."""
-    digest, lo, ahead, hash_, kind, raw = (table.column(c).to_pylist() for c in ("digest", "lo", "ahead", "hash", "kind", "bytes"))
-    groups: dict[int, list[int]] = defaultdict(list)
-    for i in {(digest[i], lo[i], kind[i]): i for i in range(len(raw))}.values():
-        groups[hash_[i]].append(i)
-    cuts: dict[tuple[bytes, int, int], list[tuple[int, int]]] = defaultdict(list)  # (bytes, ahead, hash) -> (context, first span)
-    for h, own in groups.items():
-        right = _agreement([raw[i][ahead[i] :] for i in own])
-        left = _agreement([raw[i][: ahead[i]][::-1] for i in own])
-        for i, a, b in zip(own, left, right, strict=True):
-            if a + b >= SPAN:
-                cuts[raw[i][ahead[i] - a : ahead[i] + b], a, h].append((i, lo[i] + ahead[i] - a))
-    found: list[tuple[int, int, int]] = []  # (context, first span, last span)
-    strings = [k[0] for k in cuts]
-    starts = _bwt.repeated_starts(strings, SPAN)
-    for (cut, _, _), members, at in zip(cuts, cuts.values(), starts, strict=True):
-        everywhere = len(members) > 1 or kind[members[0][0]] == _SOURCE
-        for i, first in members:
-            if kind[i] != _OPEN:
-                continue
-            if everywhere:
-                found.append((i, first, first + len(cut) - SPAN))
-            elif len(at):
-                cutting = np.flatnonzero(np.diff(at) > 1)
-                for a, b in zip(at[np.append(0, cutting + 1)].tolist(), at[np.append(cutting, len(at) - 1)].tolist(), strict=True):
-                    found.append((i, first + a, first + b))
-    rows = [(digest[i], _key(digest[i]), a, b) for i, a, b in found]
+    """One bucket's strings: the repeated spans of each, by place in the text (found once) or in the string (no digest)."""
+    digest, lo, ahead, hash_, context, kind, raw = (table.column(c).to_pylist() for c in ("digest", "lo", "ahead", "hash", "context", "kind", "bytes"))
+    own = sorted({(digest[i], lo[i], kind[i]): i for i in range(len(raw))}.values(), key=lambda i: hash_[i])
+    group = np.array([hash_[i] for i in own], np.int64)
+    right = _agreement([raw[i][ahead[i] :] for i in own], group).tolist()
+    left = _agreement([raw[i][: ahead[i]][::-1] or b"" for i in own], group).tolist()
+    found: list[tuple[int, int, int]] = []  # (row, first span, last span)
+    held: dict[tuple[bytes, int, int], list[tuple[int, int]]] = {}  # (bytes, place of the anchor, hash) -> (row, first span)
+    size = 0
+    for k, (i, a, b) in enumerate(zip(own, left, right, strict=True)):
+        if kind[i] == _STRING:
+            a, b = ahead[i], len(raw[i]) - ahead[i]
+        if a + b >= SPAN:
+            cut = raw[i][ahead[i] - a : ahead[i] + b]
+            held.setdefault((cut, a, hash_[i]), []).append((i, ahead[i] - a))
+            size += len(cut)
+        if size >= COLLECTION_BYTES and (k + 1 == len(own) or hash_[own[k + 1]] != hash_[i]):
+            found += _merged(held, kind)
+            held, size = {}, 0
+    found += _merged(held, kind)
+    rows = []
+    for i, a, b in found:
+        if kind[i] == _OPEN:
+            rows.append((digest[i], _key(digest[i]), lo[i] + a, lo[i] + b, hash_[i], context[i]))
+        else:
+            rows.append((None, None, a, b, hash_[i], context[i]))
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RANGES)], schema=_RANGES)
 
 
+def _merged(held: dict[tuple[bytes, int, int], list[tuple[int, int]]], kind: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(row, first span, last span) of the repeated intervals of a collection of strings."""
+    copies = np.array([len(m) + any(kind[i] == _STRING for i, _ in m) for m in held.values()], np.int64)
+    for members, at in zip(held.values(), _bwt.repeated_starts([c for c, _, _ in held], SPAN, copies), strict=True):
+        if len(at):
+            cut = np.flatnonzero(np.diff(at) > 1)
+            runs = list(zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True))
+            yield from ((i, first + a, first + b) for i, first in members for a, b in runs)
+
+
 def _covered(n: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of bytes under the spans that begin in the ranges; an open range is the whole text."""
     out: list[list[int]] = []
@@ -385,12 +417,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     buckets = max(1, _store.total_bytes(text) // BUCKET_BYTES)
     packed = text.mapInArrow(_emit_anchors(buckets), "bucket long, packed binary")
     found = _store.pin(packed.groupBy("bucket").applyInArrow(_resolve, _FOUND), "anchors")
-    asked = found.filter(F.col("kind") != _COVERED)
-    by_text = asked.groupBy("digest").agg(F.collect_list(F.struct("lo", "hi", "anchor", "hash", "kind")).alias("asked"))
+    asked = found.filter(F.col("kind").isin(_OPEN, _STRING))
+    by_text = asked.groupBy("digest").agg(F.collect_list(F.struct("lo", "hi", "anchor", "hash", "context", "kind")).alias("asked"))
     texts = text.mapInArrow(_wanted(bloom(asked.select("key").distinct())), "digest binary, bytes binary")
     contexts = texts.join(by_text.hint("shuffle_hash"), "digest").select("digest", "bytes", "asked").mapInArrow(_contexts(buckets), _CONTEXT)
-    edges = contexts.groupBy("bucket").applyInArrow(_edges, "digest binary, key long, lo int, hi int")
-    return _store.pin(found.filter(F.col("kind") == _COVERED).select("digest", "key", "lo", "hi").union(edges), "repeated")
+    edges = _store.pin(contexts.groupBy("bucket").applyInArrow(_edges, _RANGES_SQL), "intervals")
+    once = edges.filter("digest IS NOT NULL").select("digest", "key", "lo", "hi")
+    string = edges.filter("digest IS NULL").select("hash", "context", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    copies = found.filter(F.col("kind") == _COPY).join(string, ["hash", "context"]).select("digest", "key", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi"))
+    whole = found.filter(F.col("kind") == _WHOLE).select("digest", "key", "lo", "hi")
+    return _store.pin(once.union(copies).union(whole), "repeated")
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:

@@ -400,8 +400,9 @@ def test_merged_transforms():
     strings = ["".join(rng.choices("ab", k=rng.randint(1, 40))).encode() for _ in range(30)] + [b"abab" * 12] * 2
     parts = [strings[:7], strings[7:9], strings[9:]]
     first = np.cumsum([0, *map(len, parts)])
-    shards = [_bwt.transform(p, list(range(a, a + len(p))), 64) for p, a in zip(parts, first.tolist(), strict=False)]
-    rows_, shared = _bwt.merge(shards, 64)
+    letters = _bwt.alphabet(strings)
+    shards = [_bwt.transform(p, list(range(a, a + len(p))), 64, letters) for p, a in zip(parts, first.tolist(), strict=False)]
+    rows_, shared = _bwt.merge(shards, 64, letters)
     cycle = lambda k, a: ((strings[k] + b"\0") * 70)[a : a + 64]
     order = [cycle(k, a) for k, a in zip(rows_.string.tolist(), rows_.at.tolist(), strict=True)]
     assert order == sorted(order) and len(order) == sum(len(s) + 1 for s in strings)
@@ -409,7 +410,7 @@ def test_merged_transforms():
     assert shared[1:].tolist() == common
     span = 8
     seen = Counter(s[i : i + span] for s in strings for i in range(len(s) - span + 1))
-    got = _bwt.repeated_starts(strings, span, 100)
+    got = _bwt.repeated_starts(strings, span, shard_bytes=100)
     assert [g.tolist() for g in got] == [[i for i in range(len(s) - span + 1) if seen[s[i : i + span]] > 1] for s in strings]
 
 
