@@ -5,9 +5,9 @@ operator learns the format of credentials from labelled examples by grammar
 inference: a prefix tree of the examples' character classes with counts, in
 which states whose outgoing frequencies agree (Hoeffding bound, recursively)
 are merged, red-blue, into a probabilistic automaton.  One automaton is learned
-for each labelled family and one for harmless tokens; a candidate (a maximal
-run of credential characters that holds a digit, or that has a family's
-literal head) is scored by its log likelihood per character under
+for each labelled family and one for harmless tokens; every candidate (a maximal
+run of credential characters that is no shorter than the shortest credential
+that the formats allow) is scored by its log likelihood per character under
 each, and reported when a family beats the harmless automaton by ``MARGIN``.
 
 The labelled examples are made by rule from public format descriptions, at most
@@ -35,15 +35,17 @@ from pyspark.sql import functions as F
 PER_FAMILY = 400
 ALPHA = 0.05
 MARGIN = 0.9
-MIN_LENGTH = 16
+#: Log likelihoods of a step that no example took: credentials keep to their format, harmless tokens have none.
+FOREIGN = -25.0
+UNSEEN = -9.21
+#: Scores of so many tokens are kept by a worker; a token's score depends on nothing else.
+KEPT_SCORES = 1 << 16
 KINDS = ("assign", "access", "hex", "learned")
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ASSIGN_HINT = re.compile(r"(?i)passw|secret|token|api_?key", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run, so the same as [0-9a-f]+ with the short ones dropped
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
-_DIGIT = re.compile(r"[0-9]")
 
 _B62 = string.ascii_letters + string.digits
 #: Families of credentials: a literal head, alphabet and length of the rest.
@@ -57,6 +59,8 @@ FORMATS = {
     "map_key": [("AIza", _B62 + "_-", 35, 35)],
     "base64_key": [("", _B62 + "+/", 40, 44)],
 }
+MIN_LENGTH = min(len(head) + least for shapes in FORMATS.values() for head, _, least, _ in shapes)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -77,8 +81,10 @@ def symbol(c: str) -> str:
         return "a"
     if "g" <= c <= "z":
         return "g"
-    if "A" <= c <= "Z":
+    if "A" <= c <= "F":
         return "A"
+    if "G" <= c <= "Z":
+        return "G"
     return c
 
 
@@ -93,9 +99,10 @@ def _labelled(per_family: int) -> dict[str, list[str]]:
             rows.append(head + "".join(rng.choices(alphabet, k=rng.randint(least, most))))
         made[family] = rows
     rows = []
-    for i in range(4 * per_family):
+    digits = lambda k, of=string.digits: "".join(rng.choices(of, k=k))
+    for i in range(6 * per_family):
         word = lambda: "".join(rng.choice("bcdfghlmnprstvw") + rng.choice("aeiou") + rng.choice(["", "n", "r", "st"]) for _ in range(rng.randint(2, 5)))
-        kind = i % 8
+        kind = i % 12
         if kind == 0:
             rows.append("".join(word() for _ in range(rng.randint(3, 5))))
         elif kind == 1:
@@ -110,9 +117,21 @@ def _labelled(per_family: int) -> dict[str, list[str]]:
             rows.append("".join(rng.choices(string.digits, k=rng.randint(16, 24))))
         elif kind == 6:
             rows.append("".join(word().upper() for _ in range(rng.randint(3, 6))))
-        else:
+        elif kind == 7:
             rows.append("".join(word().capitalize() for _ in range(rng.randint(3, 6))) + rng.choice(["", str(rng.randint(1, 9999))]))
+        elif kind == 8:
+            rows.append(word() + str(rng.randint(1, 99999)) + rng.choice(["", word()]))
+        elif kind == 9:
+            rows.append("_".join(word() for _ in range(rng.randint(3, 5))))
+        elif kind == 10:  # dates, times, numbered papers
+            rows.append(rng.choice([f"{word().upper()}-20{digits(2)}-{digits(6)}", f"20{digits(2)}-{digits(2)}-{digits(2)}T{digits(6)}Z", f"{word()}_20{digits(2)}-{digits(2)}-{digits(2)}", f"{word()}-20{digits(2)}{digits(4)}-{digits(6)}"]))
+        else:  # identifiers of programs
+            rows.append(word() + "".join(word().capitalize() for _ in range(rng.randint(2, 4))) + rng.choice(["", f"V{rng.randint(1, 9)}", f"_{digits(2)}"]))
     made["harmless"] = [r for r in rows if len(r) >= 8]
+    short = lambda: rng.choice([digits(rng.randint(1, 2)), digits(rng.randint(1, 2), string.ascii_lowercase)])
+    made["harmless_parts"] = [rng.choice("-_/").join(short() for _ in range(rng.randint(7, 14))) for _ in range(per_family)]
+    for name, alphabet in (("harmless_id", "0123456789abcdef"), ("harmless_ID", "0123456789ABCDEF")):  # universally unique identifiers
+        made[name] = ["-".join(digits(k, alphabet) for k in (8, 4, 4, 4, 12)) for _ in range(per_family)]
     return made
 
 
@@ -194,46 +213,39 @@ class Automaton:
                 if t not in reach:
                     reach.add(t)
                     todo.append(t)
-        width = {"0": 10, "a": 6, "g": 20, "A": 26}
+        width = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
         return {(s, c): (math.log(n / (self.size[s] + 1) / width.get(c, 1)), self.next[s][c]) for s in reach for c, n in self.seen[s].items()}
 
-    def score(self, token: str) -> float:
-        """Mean log likelihood of a character; unseen steps cost a fixed 1e-4 and restart."""
+    def score(self, token: str, unseen: float) -> float:
+        """Mean log likelihood of a character; steps that no example took have a fixed one and restart."""
         at, total = 0, 0.0
         for c in token:
             step = self._costs.get((at, symbol(c)))
             if step is None:
-                total, at = total - 9.21, 0
+                total, at = total + unseen, 0
             else:
                 total, at = total + step[0], step[1]
         return total / max(1, len(token))
 
 
 @lru_cache(maxsize=1)
-def models(per_family: int = PER_FAMILY) -> tuple[dict[str, Automaton], Automaton]:
-    rows = _labelled(per_family)
-    return {k: Automaton(v) for k, v in rows.items() if k != "harmless"}, Automaton(rows["harmless"])
-
-
-_HEADS = tuple(sorted({head for shapes in FORMATS.values() for head, *_ in shapes if head}))
-_CLASSES = str.maketrans({c: symbol(c) for c in _B62})
+def models(per_family: int = PER_FAMILY) -> tuple[dict[str, Automaton], list[Automaton]]:
+    """Automata of the families, and of harmless tokens."""
+    made = {k: Automaton(v) for k, v in _labelled(per_family).items()}
+    return {k: a for k, a in made.items() if k in FORMATS}, [a for k, a in made.items() if k not in FORMATS]
 
 
+@lru_cache(maxsize=KEPT_SCORES)
 def classify(token: str) -> tuple[str, float] | None:
     """The best family and its margin over the harmless automaton, if that is MARGIN or more."""
     families, harmless = models()
-    name, best = max(((k, a.score(token)) for k, a in families.items()), key=lambda x: (x[1], x[0]))
-    margin = best - harmless.score(token)
+    name, best = max(((k, a.score(token, FOREIGN)) for k, a in families.items()), key=lambda x: (x[1], x[0]))
+    margin = best - max(a.score(token, UNSEEN) for a in harmless)
     return (name, margin) if margin >= MARGIN else None
 
 
 def learned_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        if (_DIGIT.search(token) or token.startswith(_HEADS)) and classify(token):
-            out.append(("learned", *m.span()))
-    return out
+    return [("learned", *m.span()) for m in _CANDIDATE.finditer(text) if classify(m[0])]
 
 
 def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -242,8 +254,13 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans; a learned span that a base span covers adds nothing."""
-    base = in_order(base_spans(text))
-    extra = [s for s in learned_spans(text) if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
+    base, extra, k, far = in_order(base_spans(text)), [], 0, 0
+    for span in learned_spans(text):
+        while k < len(base) and base[k][1] <= span[1]:
+            far = max(far, base[k][2])  # the furthest end of the base spans that begin no later
+            k += 1
+        if far < span[2]:
+            extra.append(span)
     return base, in_order(base + extra)
 
 
