@@ -55,6 +55,7 @@ BUCKET_GRAMS = 1 << 22
 #: The order's table of frequent n-grams: at least so frequent, at most so many (8 MB).
 FREQUENT = 8
 MOST_FREQUENT = 1 << 20
+_MAY_BITS = 22
 #: Members of a frequent n-gram's posting list for each grain of salt.
 PER_SALT = 4096
 
@@ -143,21 +144,24 @@ class Order:
         order = np.lexsort((self._sorted, counts))
         self._by[order] = np.arange(len(keys), dtype=np.int32)
         self._salts = np.maximum(1, counts[order] // PER_SALT).astype(np.int32)
+        self._may = np.zeros(1 << _MAY_BITS, bool)  # by a hash's upper bits, which a short key holds
+        self._may[(self._sorted & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - _MAY_BITS)] = True
 
     def __len__(self) -> int:
         return len(self._sorted)
 
     def rank(self, gram: np.ndarray) -> np.ndarray:
         """Rank among the frequent n-grams, or -1."""
-        if not len(self._sorted):
-            return np.full(len(gram), -1, np.int64)
-        key = short_keys(gram, self._buckets)
-        at = np.minimum(np.searchsorted(self._sorted, key), len(self._sorted) - 1)
-        return np.where(self._sorted[at] == key, self._by[at], -1).astype(np.int64)
-
-    def arrange(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An ascending set in the global order, and its ranks."""
-        rank = self.rank(gram)
+        out = np.full(len(gram), -1, np.int64)
+        may = np.flatnonzero(self._may[gram >> np.uint64(64 - _MAY_BITS)])
+        if len(may):
+            key = short_keys(gram[may], self._buckets)
+            at = np.minimum(np.searchsorted(self._sorted, key), len(self._sorted) - 1)
+            out[may] = np.where(self._sorted[at] == key, self._by[at], -1)
+        return out
+
+    def arrange(self, gram: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An ascending set in the global order, and its ranks, from the ranks of its n-grams."""
         often = rank >= 0
         late = np.argsort(rank[often], kind="stable")
         return np.concatenate([gram[~often], gram[often][late]]), np.concatenate([rank[~often], rank[often][late]])
@@ -238,10 +242,11 @@ def _postings(sets: Sets, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, fresh, gram, first in _new_sets(sets, batches):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
+            ranks = order.value.rank(gram)
             for r in fresh:
                 size = int(first[r + 1] - first[r])
                 p = prefix_length(size, percent)
-                own, rank = order.value.arrange(gram[first[r] : first[r + 1]])
+                own, rank = order.value.arrange(gram[first[r] : first[r + 1]], ranks[first[r] : first[r + 1]])
                 salt = (int(node[r]) & 0x7FFFFFFF) % order.value.salts(rank[:p])
                 salt = np.where(rank[:p] >= 0, salt, -1)
                 for have, x in zip(out, (own[:p].view(np.int64), salt, np.full(p, node[r]), np.full(p, size), np.arange(p)), strict=True):
@@ -288,11 +293,13 @@ def _segments(sets: Sets, order, wanted, fragments: int):
         for node, fresh, gram, first in _new_sets(sets, batches):
             may = wanted.value.may_hold(node)
             rows: list[tuple[int, int, np.ndarray]] = []
+            if not may[fresh].any():
+                continue
+            parts = order.value.fragment(gram, fragments)
             for r in fresh:
                 if not may[r]:
                     continue
-                own = gram[first[r] : first[r + 1]]
-                part = order.value.fragment(own, fragments)
+                own, part = gram[first[r] : first[r + 1]], parts[first[r] : first[r + 1]]
                 rows += [(int(node[r]), f, own[part == f].view(np.int64)) for f in np.unique(part).tolist()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], ["node", "fragment", "grams"])
