@@ -2,8 +2,8 @@
 
 Each string is taken as a cycle closed by a terminator that sorts before all
 bytes, so rows are rotations and the terminators' rows follow from the strings.
-A symbol is ``step`` bytes, packed into one word in their order, so a transform
-holds for each row the ``step`` bytes in front of its rotation.
+A symbol is ``step`` bytes; the symbols of a collection are numbered in their
+order, and a transform holds for each row the symbol in front of its rotation.
 
 ``transform`` sorts one shard's rotations by prefix doubling.  ``merge`` never
 sorts rotations again: it starts from "all rows of shard 0, then of shard 1, ..."
@@ -11,7 +11,7 @@ and refines that interleave, in each round stably dealing the shards' rows out b
 the symbol in front of them.  After r rounds the interleave is that of the rows'
 first r symbols, and a boundary that appears in round r lies between rows that
 have r - 1 symbols in common: the common prefixes come for free, to the byte
-from the two rows' r-th symbols.
+from the two symbols that part the rows.
 """
 
 from __future__ import annotations
@@ -20,166 +20,167 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Most bytes of a symbol.
+STEP = 25
 _POSITION = np.uint64((1 << 32) - 1)
 
 
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number among the distinct keys in order, an order) of each key below 2**63."""
+    n = len(key)
+    bits = max(1, n - 1).bit_length()
+    if n and int(key.max()).bit_length() + bits <= 64:  # a plain sort of keys with their places is the quicker one
+        both = np.sort(key.astype(np.uint64) << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+        key, order = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int32)
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    new = np.zeros(n, np.int32)
+    new[1:] = key[1:] != key[:-1]
+    number = np.empty(n, np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32)
+    return number, order
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64) * (int(b.max()) + 1) + b if len(a) else np.zeros(0, np.int64)
+
+
+class Collection:
+    """Strings behind one another, each with a terminator, and the symbol that begins at each place."""
+
+    def __init__(self, strings: list[bytes], depth: int):
+        self.depth = depth
+        self.step = next(k for k in range(min(STEP, depth), 0, -1) if depth % k == 0)
+        sizes = np.array([len(s) + 1 for s in strings], np.int32)
+        self.ends = np.cumsum(sizes)
+        n = int(self.ends[-1]) if len(sizes) else 0
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+        self.first = np.repeat((self.ends - sizes).astype(np.int32), sizes)
+        self.size = np.repeat(sizes, sizes)
+        self.at = np.arange(n, dtype=np.int32) - self.first
+        self.code = np.zeros(n, np.uint8)  # bytes in use, numbered in their order from 1; none is 255
+        inner = np.ones(n, bool)
+        inner[self.ends - 1] = False
+        raw = np.frombuffer(b"".join(strings), np.uint8)
+        used = np.zeros(256, bool)
+        used[raw] = True
+        self.code[inner] = np.cumsum(used)[raw]
+        width = min(7, self.step)
+        word = np.zeros(n, np.int64)
+        for k in range(width):
+            word = word << 8 | self.code[self.ahead(k)]
+        symbol, _ = _numbered(word)
+        while width < self.step:
+            more = min(width, self.step - width)
+            symbol, _ = _numbered(_pairs(symbol, symbol[self.ahead(more)]))  # two words that may overlap
+            width += more
+        self.symbol = symbol
+
+    def ahead(self, by: int) -> np.ndarray:
+        """The place ``by`` places further on in each place's cycle."""
+        to = self.at + np.int32(by)
+        if len(to) and by < int(self.size.min()):  # once around at most
+            return self.first + np.where(to >= self.size, to - self.size, to)
+        return self.first + to % self.size
+
+
 @dataclass(frozen=True)
 class Shard:
-    """Rows in order: the symbol in front of each rotation, its first symbol, its string's number and where it begins."""
+    """Rows in order: the symbol in front of each rotation, and the place where the rotation begins."""
 
     front: np.ndarray
-    head: np.ndarray
-    string: np.ndarray
-    at: np.ndarray
-
-
-@dataclass(frozen=True)
-class Alphabet:
-    """Byte values in use, in order from 1; a symbol packs ``step`` of them, ``bits`` each."""
-
-    code: np.ndarray
-    bits: int
-    step: int
-
-
-def alphabet(strings: list[bytes]) -> Alphabet:
-    used = np.zeros(256, bool)
-    for s in strings:
-        used[np.frombuffer(s, np.uint8)] = True
-    code = np.cumsum(used).astype(np.uint64)
-    bits = max(1, int(code[-1]).bit_length())
-    return Alphabet(code, bits, 62 // bits)
-
-
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rank among the distinct keys, stable order) of each key."""
-    order = np.argsort(key, kind="stable")
-    new = np.zeros(len(key), np.int32)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    rank = np.empty(len(key), np.int32)
-    rank[order] = np.cumsum(new, dtype=np.int32)
-    return rank, order
-
-
-def transform(strings: list[bytes], numbers: list[int], depth: int, letters: Alphabet | None = None) -> Shard:
-    """A shard's transform, with rotations ordered by at least their first ``depth`` bytes."""
-    letters = letters or alphabet(strings)
-    sizes = np.array([len(s) + 1 for s in strings], np.int64)
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
-    n = int(ends[-1]) if len(ends) else 0
-    code = np.zeros(n, np.uint64)
-    inner = np.ones(n, bool)
-    inner[ends - 1] = False
-    code[inner] = letters.code[np.frombuffer(b"".join(strings), np.uint8)]
-    own = np.repeat(np.arange(len(strings)), sizes)
-    first, size = begin[own], sizes[own]
-    place = np.arange(n) - first
-    head = np.zeros(n, np.uint64)
-    for k in range(letters.step):
-        head = head << np.uint64(letters.bits) | code[first + (place + k) % size]
-    rank, order = _ranked(head)
-    width = letters.step
-    follow = first + (place + width) % size
-    while width < depth:
-        rank, order = _ranked(rank.astype(np.int64) * (int(rank.max()) + 1) + rank[follow])
+    place: np.ndarray
+
+
+def transform(all_: Collection, a: int, b: int) -> Shard:
+    """The transform of strings a to b - 1, with rotations ordered by at least their first ``depth`` bytes."""
+    lo, hi = int(all_.ends[a - 1]) if a else 0, int(all_.ends[b - 1])
+    own = slice(lo, hi)
+    first, size, at = all_.first[own] - lo, all_.size[own], all_.at[own]
+    number, order = _numbered(all_.symbol[own])
+    width = all_.step
+    follow = first + (at + width) % size
+    while width < all_.depth:
+        number, order = _numbered(_pairs(number, number[follow]))
         follow, width = follow[follow], 2 * width
-    front = head[first + (place - letters.step) % size]
-    return Shard(front[order], head[order], np.array(numbers, np.int32)[own[order]], place[order].astype(np.int32))
+    front = all_.symbol[own][first + (at - all_.step) % size]
+    return Shard(front[order], order + np.int32(lo))
 
 
-def merge(shards: list[Shard], depth: int, letters: Alphabet) -> tuple[Shard, np.ndarray]:
-    """The shards' common transform, and for each row the prefix it shares with the row before, up to ``depth`` bytes."""
+def merge(shards: list[Shard], rounds: int) -> tuple[Shard, np.ndarray]:
+    """The shards' common transform, and for each row how many symbols it shares with the row before, or -1 for ``rounds`` or more."""
     sizes = [len(s.front) for s in shards]
     n = sum(sizes)
-    front = np.concatenate([s.front for s in shards])
-    rank = np.unique(front, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)  # every symbol is in front of some row
+    front = np.concatenate([s.front for s in shards]) if shards else np.zeros(0, np.int32)
+    key = front.astype(np.uint64) << np.uint64(32)
     which = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), sizes)
     block = np.zeros(n, np.int32)
-    fresh = np.full(n, -1, np.int32)  # the round in which a row parted from the one before
-    fresh[:1] = 0
+    shared = np.full(n, -1, np.int32)
+    shared[:1] = 0
     at = np.arange(n, dtype=np.uint64)
-    rounds = -(-depth // letters.step)
     for r in range(rounds):
         symbol = np.empty(n, np.uint64)
-        symbol[np.argsort(which, kind="stable")] = rank
-        order = np.sort(symbol | at)  # stable, as places break ties
-        symbol, order = order >> np.uint64(32), (order & _POSITION).astype(np.int32)
+        symbol[np.argsort(which, kind="stable")] = key
+        both = np.sort(symbol | at)  # stable, as places break ties
+        symbol, order = both >> np.uint64(32), (both & _POSITION).astype(np.int32)
         block, which = block[order], which[order]
         new = np.zeros(n, bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        fresh[new & (fresh < 0)] = r
+        shared[new & (shared < 0)] = r
         block = np.cumsum(new, dtype=np.int32)
         if n and block[-1] == n - 1:
             break  # every row stands alone
     by_shard = np.argsort(which, kind="stable")
-    out = []
-    for name in ("front", "head", "string", "at"):
-        column = np.concatenate([getattr(s, name) for s in shards])
-        merged = np.empty_like(column)
-        merged[by_shard] = column
-        out.append(merged)
-    whole = Shard(*out)
-    return whole, _common_bytes(whole, fresh, depth, letters)
-
-
-def _common_bytes(rows: Shard, fresh: np.ndarray, depth: int, letters: Alphabet) -> np.ndarray:
-    """Common prefixes in bytes: whole symbols of earlier rounds, and the bytes that agree in the symbols that part the rows."""
-    n = len(fresh)
-    place = np.zeros(int(rows.string.max()) + 2 if n else 1, np.int64)
-    sizes = np.bincount(rows.string, minlength=len(place) - 1)
-    np.cumsum(sizes, out=place[1:])
-    where = np.empty(n, np.int32)  # the row of each rotation
-    where[place[rows.string] + rows.at] = np.arange(n, dtype=np.int32)
-    shared = np.full(n, depth, np.int32)
-    shared[:1] = 0
-    parted = np.flatnonzero(fresh >= 0)
-    parted = parted[parted > 0]
-    symbols = []
-    for row in (parted - 1, parted):
-        string, skip = rows.string[row], fresh[parted] * letters.step
-        symbols.append(rows.head[where[place[string] + (rows.at[row] + skip) % sizes[string]]])
-    differ = symbols[0] ^ symbols[1]
-    top = np.frexp(differ.astype(np.float64))[1]  # bit length; rounding up to the next power only adds where all lower bits are set
-    exact = (differ >> np.maximum(top - 1, 0).astype(np.uint64)) == 0
-    top = top - exact
-    agree = letters.step - -(-top // letters.bits)
-    shared[parted] = np.minimum(fresh[parted] * letters.step + agree, depth)
-    return shared
+    merged = Shard(np.empty(n, np.int32), np.empty(n, np.int32))
+    if n:
+        merged.front[by_shard] = front
+        merged.place[by_shard] = np.concatenate([s.place for s in shards])
+    return merged, shared
+
+
+def common_bytes(all_: Collection, rows: Shard, shared: np.ndarray) -> np.ndarray:
+    """For each row the prefix that it shares with the row before, up to ``depth`` bytes."""
+    out = np.full(len(shared), all_.depth, np.int64)
+    out[:1] = 0
+    parted = np.flatnonzero(shared >= 0)[1:]
+    differ = np.ones((len(parted), all_.step), bool)
+    for k in range(all_.step):
+        skip = shared[parted] * all_.step + k
+        one, two = (all_.code[all_.first[p] + (all_.at[p] + skip) % all_.size[p]] for p in (rows.place[parted - 1], rows.place[parted]))
+        differ[:, k] = one != two
+    out[parted] = np.minimum(shared[parted] * all_.step + differ.argmax(axis=1), all_.depth)
+    return out
+
+
+def shards_of(all_: Collection, shard_bytes: int) -> list[Shard]:
+    cuts = [0]
+    while cuts[-1] < len(all_.ends):
+        before = int(all_.ends[cuts[-1] - 1]) if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(all_.ends, before + shard_bytes, "right"))))
+    return [transform(all_, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def repeated_starts(strings: list[bytes], span: int, copies: np.ndarray | None = None, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
     """For each string the positions at which ``span`` bytes start that start elsewhere in the collection too.
 
-    ``copies``: strings that the collection holds several times enter the transforms twice.
+    ``copies``: how many equal strings each one stands for.  Its rows stand for as many
+    equal rows, which would lie next to each other in every transform.
     """
     out = [np.zeros(0, np.int64) for _ in strings]
-    twice = np.zeros(len(strings), bool) if copies is None else np.asarray(copies) > 1
-    entered = [k for k, s in enumerate(strings) if len(s) >= span for _ in range(1 + int(twice[k]))]
-    if not entered:
+    long = [k for k, s in enumerate(strings) if len(s) >= span]
+    if not long:
         return out
-    letters = alphabet([strings[k] for k in entered])
-    shards, own, size = [], [], 0
-    for number, k in enumerate([*entered, -1]):
-        if own and (k < 0 or size + len(strings[k]) > shard_bytes):
-            shards.append(transform([strings[entered[x]] for x in own], own, span, letters))
-            own, size = [], 0
-        if k >= 0:
-            own.append(number)
-            size += len(strings[k]) + 1
-    rows, shared = merge(shards, span, letters)
-    again = shared >= span
-    again[:-1] |= shared[1:] >= span
-    entered = np.array(entered, np.int64)
-    lengths = np.array([len(s) for s in strings], np.int64)
-    hit = np.flatnonzero(again)
-    string, at = entered[rows.string[hit]], rows.at[hit].astype(np.int64)
-    inside = at + span <= lengths[string]
-    width = int(lengths.max()) + 1
-    found = np.unique(string[inside] * width + at[inside])
-    string, at = found // width, found % width
+    all_ = Collection([strings[k] for k in long], span)
+    rows, shared = merge(shards_of(all_, shard_bytes), span // all_.step)
+    weight = np.ones(len(long)) if copies is None else np.asarray(copies, np.float64)[long]
+    interval = np.cumsum(shared >= 0) - 1  # rows with ``span`` bytes in common
+    again = np.bincount(interval, weight[all_.string[rows.place]])[interval] > 1
+    found = np.sort(rows.place[again])
+    found = found[all_.at[found] + span < all_.size[found]]
+    string, at = all_.string[found], all_.at[found].astype(np.int64)
     cut = np.flatnonzero(np.diff(string)) + 1
     for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(string)).tolist(), strict=True):
         if b > a:
-            out[int(string[a])] = at[a:b]
+            out[long[int(string[a])]] = at[a:b]
     return out

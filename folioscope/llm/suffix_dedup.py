@@ -8,7 +8,7 @@ with one anchor and a context: the few hundred bytes that the run's spans cover.
 1. Anchors meet by hash, which only deals contexts to the shards in which equal
    spans must meet.  An anchor found once is done with.  Equal contexts are one
    string of the collection, as equal texts are one text: its bytes are sent on
-   once, and it enters the transforms twice.
+   once, and its rows in the transforms count for several.
 2. The bytes of these strings are fetched.  A context found once is cut down to
    what agrees, around the anchor, with any other context of that anchor, and
    equal cuts are united.
@@ -419,7 +419,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = _store.pin(packed.groupBy("bucket").applyInArrow(_resolve, _FOUND), "anchors")
     asked = found.filter(F.col("kind").isin(_OPEN, _STRING))
     by_text = asked.groupBy("digest").agg(F.collect_list(F.struct("lo", "hi", "anchor", "hash", "context", "kind")).alias("asked"))
-    texts = text.mapInArrow(_wanted(bloom(asked.select("key").distinct())), "digest binary, bytes binary")
+    texts = text.mapInArrow(_wanted(bloom(asked.select("key"))), "digest binary, bytes binary")
     contexts = texts.join(by_text.hint("shuffle_hash"), "digest").select("digest", "bytes", "asked").mapInArrow(_contexts(buckets), _CONTEXT)
     edges = _store.pin(contexts.groupBy("bucket").applyInArrow(_edges, _RANGES_SQL), "intervals")
     once = edges.filter("digest IS NOT NULL").select("digest", "key", "lo", "hi")
@@ -434,7 +434,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     found = repeated(docs)
     ranges = found.groupBy("digest").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     text = docs.select(F.col("text").cast("string").alias("text"))
-    texts = text.mapInArrow(_wanted(bloom(found.select("key").distinct())), "digest binary, bytes binary")
+    texts = text.mapInArrow(_wanted(bloom(found.select("key"))), "digest binary, bytes binary")
     joined = texts.join(ranges.hint("shuffle_hash"), "digest").select("digest", "bytes", "ranges")
     return joined.mapInArrow(_cut, "digest binary, n_removed long, n_spans long, removed array<struct<start:bigint,end:bigint>>, kept binary")
 

@@ -398,13 +398,13 @@ def test_suffix_dedup_in_pieces(spark, table, monkeypatch):
 def test_merged_transforms():
     rng = random.Random(12)
     strings = ["".join(rng.choices("ab", k=rng.randint(1, 40))).encode() for _ in range(30)] + [b"abab" * 12] * 2
-    parts = [strings[:7], strings[7:9], strings[9:]]
-    first = np.cumsum([0, *map(len, parts)])
-    letters = _bwt.alphabet(strings)
-    shards = [_bwt.transform(p, list(range(a, a + len(p))), 64, letters) for p, a in zip(parts, first.tolist(), strict=False)]
-    rows_, shared = _bwt.merge(shards, 64, letters)
+    all_ = _bwt.Collection(strings, 64)
+    shards = [_bwt.transform(all_, a, b) for a, b in ((0, 7), (7, 9), (9, len(strings)))]
+    merged, rounds = _bwt.merge(shards, 64 // all_.step)
+    shared = _bwt.common_bytes(all_, merged, rounds)
+    string, at = all_.string[merged.place], all_.at[merged.place]
     cycle = lambda k, a: ((strings[k] + b"\0") * 70)[a : a + 64]
-    order = [cycle(k, a) for k, a in zip(rows_.string.tolist(), rows_.at.tolist(), strict=True)]
+    order = [cycle(k, a) for k, a in zip(string.tolist(), at.tolist(), strict=True)]
     assert order == sorted(order) and len(order) == sum(len(s) + 1 for s in strings)
     common = [next((i for i in range(64) if a[i] != b[i]), 64) for a, b in zip(order, order[1:], strict=False)]
     assert shared[1:].tolist() == common
@@ -412,6 +412,9 @@ def test_merged_transforms():
     seen = Counter(s[i : i + span] for s in strings for i in range(len(s) - span + 1))
     got = _bwt.repeated_starts(strings, span, shard_bytes=100)
     assert [g.tolist() for g in got] == [[i for i in range(len(s) - span + 1) if seen[s[i : i + span]] > 1] for s in strings]
+    distinct = sorted(set(strings))  # one string that stands for several
+    got = _bwt.repeated_starts(distinct, span, [strings.count(s) for s in distinct], 100)
+    assert [g.tolist() for g in got] == [[i for i in range(len(s) - span + 1) if seen[s[i : i + span]] > 1] for s in distinct]
 
 
 # --- models ----------------------------------------------------------------------
