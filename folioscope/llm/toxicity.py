@@ -11,9 +11,9 @@ As there are two classes and the model is linear behind the embeddings, a
 bucket's embedding enters a score as one number, its projection on the softmax's
 difference; scoring ships just these, and adds them up over whole texts.
 
-Learning takes at most ``PER_CLASS`` labelled texts of each class, none longer
-than ``LONGEST`` bytes: those with the least hashes of their ids, never from the
-held-out fold.  Half of another such draw with the classes as they come sets the
+Learning takes at most ``PER_CLASS`` labelled texts of each class, one for each id
+(the least, if several share it), none longer than ``LONGEST`` bytes: those with
+the least hashes of their ids, never from the held-out fold.  Half of another such draw with the classes as they come sets the
 score's scale (Platt).  Scores never see labels, lang, source or doc_id.
 
 Null and empty texts have no features and get the score of the bias alone.  Null
@@ -55,29 +55,43 @@ _SPACE = np.uint8(32)
 _FOLD = np.where(tx.NOT_SPACE, tx.LOWER, _SPACE).astype(np.uint8)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, rows) of the n-grams, size by size."""
+def _spaced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows in lower case, white space as spaces, with a space before each row and behind the last."""
     rows = len(offsets) - 1
-    shift = np.arange(rows + 1) + 1
     text = np.full(len(data) + rows + 1, _SPACE, np.uint8)
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    text[np.arange(len(data)) + row + 1] = _FOLD[data]
-    n = len(text)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(tx.BYTE_VALUE[text] * tx.power(tx._BASE, n), out=total[1:])
-    spaces = np.zeros(n + 1, np.int32)
-    np.cumsum(text == _SPACE, out=spaces[1:])
-    starts = offsets + shift - 1  # the space before each row
-    bounds = np.flatnonzero(text == _SPACE)
-    length = np.repeat(np.diff(bounds), np.diff(bounds)) - 1  # of the word that follows or holds each byte
-    for size in SIZES:
-        if n < size:
-            continue
-        at = np.flatnonzero(spaces[size - 1 : n] - spaces[1 : n - size + 2] == 0)  # spaces at the ends only
-        if size < LONG:
-            at = at[length[at + 1] <= SHORT_WORD]
-        h = tx.mix((total[at + size] - total[at]) * tx.power(tx._BASE_INV, n + 1)[at] + np.uint64(size))
-        yield (h >> np.uint64(64 - LOG_BUCKETS)).astype(np.int32), np.searchsorted(starts, at, "right") - 1
+    if rows == 1:
+        text[1:-1] = _FOLD[data]
+    else:
+        text[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets)) + 1] = _FOLD[data]
+    return text
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, rows) of the n-grams, size by size in each chunk of the text."""
+    text = _spaced(data, offsets)
+    starts = offsets + np.arange(len(offsets))  # the space before each row
+    n, around = len(text), max(SIZES) + 1
+    step = max(tx.CHUNK, around)
+    for begin in range(0, n, step):
+        low, end = max(0, begin - around), min(begin + step, n)
+        part = text[low : end + around]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(tx.BYTE_VALUE[part] * tx.power(tx._BASE, len(part)), out=total[1:])
+        inverse = tx.power(tx._BASE_INV, len(part) + 1)
+        spaces = np.zeros(len(part) + 1, np.int32)
+        np.cumsum(part == _SPACE, out=spaces[1:])
+        bounds = np.concatenate([[-around], np.flatnonzero(part == _SPACE), [len(part) + around]])  # words cut by the chunk are long
+        length = np.repeat(np.diff(bounds), np.diff(bounds))[around:] - 1  # of the word that follows or holds each byte
+        for size in SIZES:
+            first, last = begin - low, min(end - low, len(part) - size + 1)
+            if last <= first:
+                continue
+            inner = spaces[first + size - 1 : last + size - 1] - spaces[first + 1 : last + 1]
+            at = first + np.flatnonzero(inner == 0)  # spaces at the ends only
+            if size < LONG:
+                at = at[length[at + 1] <= SHORT_WORD]
+            h = tx.mix((total[at + size] - total[at]) * inverse[at] + np.uint64(size))
+            yield (h >> np.uint64(64 - LOG_BUCKETS)).astype(np.int32), np.searchsorted(starts, at + low, "right") - 1
 
 
 @dataclass(frozen=True)
@@ -185,14 +199,15 @@ def _fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION) -> Model:
     """A model from a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("toxic"))
-    known = known.filter(_fold(F.col("doc_id")) != 0)
+    text = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= LONGEST)
+    known = known.filter(_fold(F.col("doc_id")) != 0).join(text.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = drawn.withColumn("use", F.lit("scale")).unionByName(picked[0].withColumn("use", F.lit("fit"))).unionByName(picked[1].withColumn("use", F.lit("fit")))
     chosen = chosen.groupBy("doc_id", "toxic").agg(F.collect_set("use").alias("use"))  # at most 2 * per_class + calibration rows
-    text = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= LONGEST)
-    rows = text.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("doc_id", "toxic", "use", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    one = text.join(F.broadcast(chosen.select("doc_id")), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = one.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "use", "text").collect()  # a text of at most LONGEST bytes for each
+    rows.sort(key=lambda r: r.doc_id)
     scale = [r for k, r in enumerate(rows) if "scale" in r.use and k % 2]
     apart = {id(r) for r in scale}
     own = [r for r in rows if "fit" in r.use and id(r) not in apart]
