@@ -93,22 +93,25 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan(files: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(uri, ordinal, start, n_tokens, complete) of every document of the files; start and n_tokens leave separators out of the count but start counts them."""
+    """(uri, ordinal, n_tokens, complete) of every document of the files; n_tokens leaves the separator out, and only a file's last document may lack it."""
     width = np.dtype(dtype).itemsize
     step = max(width, block_bytes // width * width)
     blocks = files.filter("size > 0").select("uri", "size", F.explode(F.expr(f"sequence(0L, size - 1, {step}L)")).alias("at"))
     blocks = blocks.repartition(F.xxhash64("uri", "at"))
     found = _store.pin(blocks.mapInArrow(_scanner(separator, dtype, step), "uri string, at long, runs array<long>, tail long"), "blocks")
+    # What the prefix scan needs of a block is two numbers; its runs stay where they are until the join.
+    narrow = found.select("uri", "at", F.size("runs").alias("n_runs"), "tail")
     in_file = Window.partitionBy("uri").orderBy("at")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    has = F.when(F.size("runs") > 0, 1).otherwise(0)
+    has = F.when(F.col("n_runs") > 0, 1).otherwise(0)
     # Blocks up to the next one with a separator form a segment; what they hold is carried into that next block.
-    marked = found.withColumn("segment", F.sum(has).over(in_file)).withColumn("ended", F.coalesce(F.sum(F.size("runs")).over(earlier), F.lit(0)))
+    marked = narrow.withColumn("segment", F.sum(has).over(in_file)).withColumn("ended", F.coalesce(F.sum("n_runs").over(earlier), F.lit(0)))
     marked = marked.withColumn("carried", F.sum("tail").over(Window.partitionBy("uri", "segment")))
     carry = F.coalesce(F.lag("carried").over(in_file), F.lit(0))
     marked = marked.withColumn("carry", carry)
     last = Window.partitionBy("uri")
-    marked = marked.withColumn("n_segments", F.max("segment").over(last)).withColumn("last_at", F.max("at").over(last))
+    marked = marked.withColumn("last_at", F.max("at").over(last)).select("uri", "at", "ended", "carry", "carried", "last_at")
+    marked = marked.join(found.select("uri", "at", "runs"), ["uri", "at"])
     lengths = F.when(F.size("runs") > 0, F.transform("runs", lambda x, i: F.when(i == 0, x + F.col("carry")).otherwise(x))).otherwise(F.array().cast("array<long>"))
     rest = F.when((F.col("at") == F.col("last_at")) & (F.col("carried") > 0), F.array("carried")).otherwise(F.array().cast("array<long>"))
     docs = marked.select("uri", "at", "ended", F.posexplode(F.concat(F.transform(lengths, lambda x: F.struct(x.alias("n"), F.lit(True).alias("complete"))), F.transform(rest, lambda x: F.struct(x.alias("n"), F.lit(False).alias("complete"))))).alias("i", "d"))
