@@ -12,8 +12,9 @@ winnowing guarantees nothing there, so for each such length every run of that
 many words is looked up.
 
 The documents are scanned where they lie, without a shuffle.  The benchmark is
-dealt into blocks of at most about ``block_bytes`` of text, and each document
-passes all blocks in one scan, so no size of benchmark has to fit in memory.
+dealt into blocks of at most about ``block_bytes`` of text; with several, what
+one block has found is written before the next one is looked up, so that a
+worker holds one block's index at a time, at the price of a scan for each block.
 
 Null and empty texts have no words and no hits; items without words occur
 nowhere.  Repeated documents are judged one by one; repeated item ids count
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _store
 from . import _text as tx
 
 WINDOW = 10
@@ -153,7 +155,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     out = docs.select(row, F.col("text").cast("string").alias("t"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(_HIT_SQL).alias("hits"))
     schema = out.schema
-    for items in _blocks(benchmark, block_bytes):
+    for block, items in enumerate(_blocks(benchmark, block_bytes)):
+        if block:
+            out = _store.pin(out, "hits")
         out = out.mapInArrow(_mapper(spark.sparkContext.broadcast(Index(items, window, k))), schema)
     return out.select("row", "n_words", "hits")
 
