@@ -183,10 +183,34 @@ class Words:
         """Sums of the features' values over lines a to b - 1, each taken as one paragraph."""
         pad = np.concatenate([value, np.zeros_like(value[:1])])  # feature -1 is worth nothing
         i, j = self.first[a], self.first[b]
+        if pad.ndim > 1:
+            return self._gathered(pad, i, j)
         single, double = (np.concatenate([np.zeros_like(pad[:1], np.float64), np.cumsum(pad[x], axis=0, dtype=np.float64)]) for x in (self.one, self.two))
         return single[j] - single[i] + double[np.maximum(j - 1, i)] - double[i]
 
 
+    def _gathered(self, pad: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sums of several values for each feature, over some stretches of words at a time."""
+        out = np.zeros((len(i), pad.shape[1]))
+        behind = np.cumsum(j - i)
+        at = 0
+        while at < len(i):
+            to = max(at + 1, int(np.searchsorted(behind, (behind[at - 1] if at else 0) + _GATHERED, "right")))
+            size = j[at:to] - i[at:to]
+            row = np.repeat(np.arange(to - at), size)
+            word = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(i[at:to], size)
+            last = word + 1 == np.repeat(j[at:to], size)
+            single, double = self.one[word], np.where(last, -1, self.two[word])
+            for k in range(pad.shape[1]):
+                out[at:to, k] = np.bincount(row, pad[single, k] + pad[double, k], to - at)
+            at = to
+        return out
+
+
+#: Words of stretches whose values are looked at together.
+_GATHERED = 1 << 17
+
+
 def _stretches(n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first line, line behind) of all stretches of two lines or more."""
     full = n > 0
