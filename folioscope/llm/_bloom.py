@@ -1,4 +1,4 @@
-"""A Bloom filter of fixed size over 64-bit keys, built on the executors.
+"""A Bloom filter of bounded size over 64-bit keys, built on the executors.
 
 It only spares a shuffle the rows that can't matter: whatever passes it is
 joined exactly afterwards, so a full filter costs time, never results.
@@ -15,26 +15,35 @@ from pyspark.sql import functions as F
 
 from ._text import mix
 
-LOG_BITS = 26  # 8 MB, whatever the number of keys
+#: Bits for each key, and the least and most bits in all: 128 kB to 32 MB.
+BITS_PER_KEY = 16
+LOG_BITS = (20, 28)
 _LOG_BLOCK = 16
 
 
-def positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def log_size(keys: int) -> int:
+    return min(max((BITS_PER_KEY * keys).bit_length(), LOG_BITS[0]), LOG_BITS[1])
+
+
+def positions(keys: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit positions of each key."""
     h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B))
-    mask = np.uint64((1 << LOG_BITS) - 1)
+    mask = np.uint64((1 << log_bits) - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One packed block of bits for each block that a task's keys touch."""
-    have = np.zeros(1 << LOG_BITS >> 3, np.uint8)
-    for batch in batches:
-        for at in positions(batch.column(0).to_numpy(zero_copy_only=False)):
-            np.bitwise_or.at(have, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
-    blocks = have.reshape(-1, 1 << _LOG_BLOCK >> 3)
-    for k in np.flatnonzero(blocks.any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "bits"])
+def _bits(log_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One packed block of bits for each block that a task's keys touch."""
+        have = np.zeros(1 << log_bits >> 3, np.uint8)
+        for batch in batches:
+            for at in positions(batch.column(0).to_numpy(zero_copy_only=False), log_bits):
+                np.bitwise_or.at(have, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        blocks = have.reshape(-1, 1 << _LOG_BLOCK >> 3)
+        for k in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "bits"])
+
+    return run
 
 
 def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,22 +58,23 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bloom:
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        self._bits = np.zeros(1 << LOG_BITS >> 3, np.uint8)
+    def __init__(self, rows: list[tuple[int, bytes]], log_bits: int):
+        self._log_bits, self._bits = log_bits, np.zeros(1 << log_bits >> 3, np.uint8)
         step = 1 << _LOG_BLOCK >> 3
         for k, bits in rows:
             self._bits[k * step : (k + 1) * step] = np.frombuffer(bits, np.uint8)
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        a, b = positions(keys)
+        a, b = positions(keys, self._log_bits)
         hit = lambda at: (self._bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         return (hit(a) & hit(b)).astype(bool)
 
 
 def bloom(keys: DataFrame):
-    """A broadcast Bloom filter of a one-column DataFrame of longs."""
+    """A broadcast Bloom filter of a one-column DataFrame of longs, which is read twice; repeated keys only make it larger."""
     schema = "block int, bits binary"
     key = keys.select(F.col(keys.columns[0]).cast("long")).na.drop()
-    whole = key.mapInArrow(_bits, schema).repartition("block").mapInArrow(_either, schema)
-    rows = [(r.block, bytes(r.bits)) for r in whole.collect()]  # at most 2**LOG_BITS bits
-    return keys.sparkSession.sparkContext.broadcast(Bloom(rows))
+    log_bits = log_size(key.count())
+    whole = key.mapInArrow(_bits(log_bits), schema).repartition("block").mapInArrow(_either, schema)
+    rows = [(r.block, bytes(r.bits)) for r in whole.collect()]  # at most 2**28 bits
+    return keys.sparkSession.sparkContext.broadcast(Bloom(rows, log_bits))

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 _libc = ctypes.CDLL(None)
 
 SLICE_BYTES = 1 << 20
+#: Scans of a slice work on so many bytes at a time, however long its texts are.
+CHUNK = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: One odd-ish random 64-bit value for each byte value.
@@ -93,30 +95,51 @@ def release() -> None:
 
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of ``member`` bytes, cut at row ends; first word of each row."""
-    n = len(data)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(len(offsets), np.int64)
-    inside = member[data]
-    edges = offsets[(offsets > 0) & (offsets < n)]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    before[edges] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[edges - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    starts, ends, inner = [], [], False  # inner: the byte before the chunk is in a run
+    for a in range(0, len(data), CHUNK):
+        inside = member[data[a : a + CHUNK]]
+        before = np.empty(len(inside), bool)
+        before[0] = inner
+        before[1:] = inside[:-1]
+        begins = inside & ~before
+        stops = before & ~inside
+        edges = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + len(inside))] - a
+        begins[edges] = inside[edges]
+        stops[edges] = before[edges]
+        starts.append(np.flatnonzero(begins) + a)
+        ends.append(np.flatnonzero(stops) + a)
+        inner = bool(inside[-1])
+    none = np.zeros(0, np.int64)
+    ends.append(np.array([len(data)], np.int64) if inner else none)
+    starts = np.concatenate([none, *starts])
+    return starts, np.concatenate(ends), np.searchsorted(starts, offsets)
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs [start, end); equal for equal bytes."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * power(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * power(_BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte runs [start, end), which ascend and don't overlap; equal for equal bytes."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+        last = int(ends[j - 1])
+        if last - base > CHUNK:  # one run of more than a chunk
+            out[i] = _long_sum(data[base:last])
+        else:
+            total = np.zeros(last - base + 1, np.uint64)
+            np.cumsum(BYTE_VALUE[data[base:last]] * power(_BASE, last - base), out=total[1:])
+            a, b = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = (total[b] - total[a]) * power(_BASE_INV, last - base + 1)[a]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _long_sum(data: np.ndarray) -> int:
+    total = 0
+    for a in range(0, len(data), CHUNK):
+        part = data[a : a + CHUNK]
+        total += int(np.sum(BYTE_VALUE[part] * power(_BASE, len(part)))) * pow(_BASE, a, 2**64)
+    return total % 2**64
 
 
 def gram_hashes(word: np.ndarray, n: int) -> np.ndarray:

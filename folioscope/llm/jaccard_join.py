@@ -74,6 +74,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
             rows.append(few)
             keys.append(tx.mix(tx.gram_hashes(word, m)[first[few]] + np.uint64(m)))
     r, k = np.concatenate(rows), np.concatenate(keys)
+    if len(offsets) == 2:  # one long text
+        k = np.unique(k)
+        return k, np.array([0, len(k)])
     order = np.lexsort((k, r))
     r, k = r[order], k[order]
     new = np.ones(len(k), bool)
