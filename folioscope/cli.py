@@ -4,24 +4,46 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
 from . import config as settings
 from . import sinks
-from .operators.ocr import Reader
-from .plans.pipeline import convert
-from .sources.pages import read_pages, read_pdfs
+from .operators.ocr import http_transport
+from .plans.pipeline import convert, load_prompt, reader_of
+from .sources import pages as pages_in
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, reader: Reader | None = None, load=None) -> int:
+@dataclass(frozen=True)
+class Adapters:
+    """What opens PDF files, and what carries requests; tests and other libraries put in their own."""
+
+    text: pages_in.PdfAdapter = pages_in.pdfplumber_pages
+    geometry: pages_in.GeometryAdapter | None = pages_in.pdfplumber_geometry
+    renderer: pages_in.Renderer = pages_in.pdf2image_pages
+    backends: list | None = None
+    transport: Callable = http_transport
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, adapters: Adapters | None = None) -> int:
+    """A folder of PDF files, or one file, is opened by the adapters; anything else is a table of pages."""
     source, c = settings.from_args(argv)
+    use = adapters or Adapters()
     spark = spark or SparkSession.builder.appName("folioscope").getOrCreate()
-    pages = read_pdfs(spark, source, include=c.pages) if source.endswith(".pdf") else read_pages(spark, source)
-    if reader is None and c.api_url and c.mode != "text":
-        providers = c.providers(os.environ.get("FOLIOSCOPE_API_KEY", ""))
-        reader = Reader(providers, c.models(), rps=c.ocr_rps) if providers else None
-    out = convert(spark, pages, c, c.cache_dir or f"{c.out or source}.cache", reader, load)
+    files = geometry = reader = None
+    if c.source == "pdf" or c.source == "auto" and source.lower().endswith(".pdf"):
+        files = pages_in.pdf_files(spark, source)
+        pages = pages_in.read_pdfs(spark, source, use.text, include=c.pages)
+        needs_words = c.layout == "auto" and c.mode != "text" or c.postprocess and c.remove_hf and c.hf_use_layout
+        geometry = pages_in.read_geometry(files, use.geometry, c.pages) if use.geometry and needs_words else None
+    else:
+        pages = pages_in.read_pages(spark, source)
+    providers = c.providers(os.environ.get("FOLIOSCOPE_API_KEY", "")) if c.mode != "text" else ()
+    if providers:
+        reader = reader_of(c.settled(), providers, load_prompt(spark, c.prompt_file), transport=use.transport)
+    out = convert(spark, pages, c, c.cache_dir or f"{c.out or source}.cache", reader, geometry=geometry, files=files, renderer=use.renderer, backends=use.backends)
     if c.dry_run:
         if not c.quiet:
             out.summary.orderBy("doc_id", "plan").show(truncate=False)

@@ -18,6 +18,7 @@ class Config:
     """Defaults are the published ones; every field is a flag, truth values have a ``--no-`` form."""
 
     # what is read, and how
+    source: str = "auto"
     mode: str = "auto"
     pages: str = ""
     skip_pages: str = ""
@@ -167,6 +168,7 @@ class Config:
 
 #: Choices of flags: fixed values.
 CHOICES = {
+    "source": ("auto", "pdf", "pages"),
     "mode": ("auto", "text", "ocr"),
     "imgfmt": ("PNG", "JPG", "JPEG"),
     "detail": ("low", "high"),
@@ -226,7 +228,7 @@ def decode_escapes(text: str) -> str:
 def parser() -> argparse.ArgumentParser:
     """One flag for each field of ``Config``, made by rule."""
     out = argparse.ArgumentParser(prog="folioscope", description="Pages to Markdown on Spark.")
-    out.add_argument("input", help="a folder of PDF files, or of Parquet files with (doc_id, page, text)")
+    out.add_argument("input", help="a PDF file, a folder of them (with --source pdf), or Parquet files with (doc_id, page, text)")
     out.add_argument("--preset", choices=list(PRESETS))
     out.add_argument("--wizard", action="store_true")
     for f in dataclasses.fields(Config):

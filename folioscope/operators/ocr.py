@@ -15,8 +15,9 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .images import Gray
+from .images import Gray, Image, Look, from_row
 
 #: What asks for the rest of an answer that was cut off: a fixed value.
 CONTINUE = "Continue from the last line. Do not repeat. Output only Markdown."
@@ -116,7 +117,7 @@ class Reader:
                     raise RuntimeError(last)
             if attempt + 1 < self.retries:
                 self.sleep(pause)
-        raise RuntimeError(f"OCR request failed after {self.retries} tries. Last error: {last}")
+        raise RuntimeError(f"no answer from {provider.url} in {self.retries} calls; {last}")
 
     def call(self, image_url: str, page: int, language: str = "", limiter: RateLimiter | None = None) -> tuple[str, str, str]:
         """(text, model, url) of the first provider and model whose answer passes."""
@@ -140,7 +141,7 @@ class Reader:
                 last = f"OCR quality check failed: {reason}"
             except Exception as e:
                 last = e
-        raise RuntimeError(f"OCR failed for all models and providers. Last error: {last}")
+        raise RuntimeError(f"no service read the page; {last}")
 
     def fault(self, text: str) -> str:
         """The first limit that a text misses, or nothing."""
@@ -163,7 +164,7 @@ class Reader:
             for high in (False, True) if finer else (False,):
                 try:
                     got = [self.call(u, page, language, limiter) for u in load(high)]
-                    text = "\n\n".join(t for t, _, _ in got)
+                    text = got[0][0] if len(got) == 1 else plain_normalize("\n\n".join(t for t, _, _ in got))
                     distinct = lambda k: ",".join(dict.fromkeys(g[k] for g in got))  # noqa: B023, E731
                     return {"text": text, "method": "ocr", "seconds": time.monotonic() - begun, "chars": len(text), "error": None, "model": distinct(1), "api_url": distinct(2)}
                 except Exception as e:
@@ -210,19 +211,73 @@ def crops(gray: Gray, mode: str = "single", split: float | None = None, overlap:
 RESULT = "text string, method string, seconds double, chars bigint, error string, model string, api_url string"
 
 
+#: Pages of one task: what a lost executor has to read again.
+PAGES_PER_TASK = 64
+_COLUMNS = ["doc_id", "page", "text", "method", "seconds", "chars", "error", "model", "api_url"]
+
+
+def _shares(pages: DataFrame, workers: int) -> tuple[int, int]:
+    """(partitions, of which so many run at a time): small tasks, unless few workers are asked for, who then are the partitions."""
+    slots = pages.sparkSession.sparkContext.defaultParallelism
+    if workers < slots:
+        return workers, workers
+    partitions = max(workers, -(-pages.count() // PAGES_PER_TASK))
+    return partitions, min(partitions, slots)
+
+
 def read_pages(pages: DataFrame, reader: Reader, load: Callable[[pd.Series, bool], list[str]], workers: int = 2, finer: bool = False) -> DataFrame:
     """(doc_id, page, result) of every page; ``load(row, high)`` gives a row's images as data URLs.
 
     Write the result before using it twice, or the calls are made twice.
     """
+    partitions, at_a_time = _shares(pages, workers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = RateLimiter(reader.rps / workers if reader.rps > 0 else 0.0)
+        limiter = RateLimiter(reader.rps / at_a_time if reader.rps > 0 else 0.0)
         for batch in batches:
             rows = []
             for _, row in batch.iterrows():
                 got = reader.page(int(row["page"]), lambda high, row=row: load(row, high), row.get("language") or "", finer, limiter)
                 rows.append({"doc_id": row["doc_id"], "page": row["page"], **got})
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "text", "method", "seconds", "chars", "error", "model", "api_url"])
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    return pages.repartition(partitions).mapInPandas(run, f"doc_id string, page int, {RESULT}")
+
+
+def read_scans(files: DataFrame, due: DataFrame, reader: Reader, look: Look, renderer: Callable[[bytes, int, int], Image], workers: int = 2, finer: bool = False, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, result) of scanned pages: rendered, cut up by their layout, prepared, sent and put together.
+
+    ``files`` is (doc_id, content); ``due`` is (doc_id, page) with ``language`` and
+    ``split`` (where two columns part, or null) if they are known.  A file travels
+    once for some pages, not once for each.  ``images`` (doc_id, page, dpi, width,
+    height, pixels) are taken instead of rendering where they are there.
+    """
+    from ..sources.pages import in_chunks
+
+    asked = due.select("doc_id", "page", *[(F.col(c) if c in due.columns else F.lit(None)).cast(t).alias(c) for c, t in (("language", "string"), ("split", "double"))])
+    known = F.lit(None).cast("array<struct<dpi:int,width:int,height:int,pixels:binary>>").alias("images")
+    if images is not None:
+        kept = images.filter("pixels IS NOT NULL").groupBy("doc_id", "page").agg(F.collect_list(F.struct("dpi", "width", "height", "pixels")).alias("images"))  # one for each resolution
+        asked = asked.join(kept, ["doc_id", "page"], "left")
+        known = F.col("images")
+    chunks = in_chunks(files, asked.select("doc_id", "page", "language", "split", known), ["page", "language", "split", "images"], keep=True)
+    partitions, at_a_time = _shares(due, workers)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limiter = RateLimiter(reader.rps / at_a_time if reader.rps > 0 else 0.0)
+        for batch in batches:
+            for name, content, pages in zip(batch["doc_id"], batch["content"], batch["pages"], strict=True):
+                rows = []
+                for p in pages:
+                    have = {x["dpi"]: from_row(x["pixels"], x["width"], x["height"]) for x in (p["images"] if p["images"] is not None else [])}
+
+                    def load(high: bool, p=p, have=have, content=content) -> list[str]:
+                        dpi = look.dpi_high if high else look.dpi
+                        image = have[dpi] if dpi in have else renderer(content, int(p["page"]), dpi)
+                        split = p["split"]
+                        return look.urls(image, None if split is None or split != split else split)
+
+                    rows.append({"doc_id": name, "page": p["page"], **reader.page(int(p["page"]), load, p["language"] or "", finer, limiter)})
+                yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return pages.repartition(workers).mapInPandas(run, f"doc_id string, page int, {RESULT}")
+    return chunks.repartition(partitions).mapInPandas(run, f"doc_id string, page int, {RESULT}")

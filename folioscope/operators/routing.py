@@ -36,7 +36,7 @@ def select_pages(pages: DataFrame, include: str = "", skip: str = "") -> DataFra
 def require_pages(pages: DataFrame) -> DataFrame:
     """``pages``, or an error if there is none."""
     if pages.isEmpty():
-        raise RuntimeError("No pages selected after applying pages/skip-pages.")
+        raise RuntimeError("The page lists leave nothing to work on.")
     return pages
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,24 @@ from .functions.text import page_name, rstrip, strip
 from .operators.summary import stat_json
 
 
+_PAGE = re.compile(r"\{page(?::(0?)(\d*)d?)?\}")
+
+
 def page_header(template: str, page: Column) -> Column:
-    return F.replace(F.lit(template), F.lit("{page}"), page.cast("string"))
+    """The template with its page filled in: ``{page}``, or with a width as in ``{page:03d}`` or ``{page:4}``; doubled braces are single ones."""
+    parts, at = [], 0
+    for m in _PAGE.finditer(template):
+        number = page.cast("string")
+        if m[2]:
+            width = int(m[2])
+            number = F.when(F.length(number) < width, F.lpad(number, width, "0" if m[1] else " ")).otherwise(number)
+        parts += [F.lit(_braces(template[at : m.start()])), number]
+        at = m.end()
+    return F.concat(*parts, F.lit(_braces(template[at:])))
+
+
+def _braces(text: str) -> str:
+    return text.replace("{{", "{").replace("}}", "}")
 
 
 def merge_pages(pages: DataFrame, separator: str = "\n\n---\n\n", header: str = "## Page {page}", title: str = "") -> DataFrame:

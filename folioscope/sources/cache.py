@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import rstrip, strip
@@ -31,11 +32,28 @@ def write_cache(pages: DataFrame, path: str, settings: str) -> None:
     rows.withColumn("version", F.current_timestamp()).withColumn("settings", F.lit(settings)).write.mode("append").partitionBy("settings").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def written(pages: DataFrame, path: str) -> DataFrame:
+    """``pages`` written once under ``path`` and read back, for plans that use them several times."""
+    own = f"{path}/{uuid.uuid4().hex}"
+    pages.write.parquet(own)
+    return pages.sparkSession.read.schema(pages.schema).parquet(own)
+
+
 def read_cache(spark: SparkSession, path: str, settings: str) -> DataFrame:
-    """The latest result of each page, stripped; nothing if the cache isn't there yet."""
-    exists = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists):
+    """The latest result of each page, stripped; nothing if the cache isn't there yet.
+
+    Versions are told apart by keys alone; texts are only compared among equal versions.
+    """
+    if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
     rows = spark.read.schema(SCHEMA).parquet(path).filter(F.col("settings") == settings)
-    latest = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("version"), F.desc("text")))
-    return rows.withColumn("_n", latest).filter("_n = 1").drop("_n").withColumn("text", strip(F.col("text")))
+    last = rows.groupBy("doc_id", "page").agg(F.max("version").alias("version"))
+    latest = rows.join(last, ["doc_id", "page", "version"])
+    columns = [c for c in rows.columns if c not in ("doc_id", "page")]
+    one = latest.groupBy("doc_id", "page").agg(F.max_by(F.struct(*columns), "text").alias("r"))
+    return one.select(*[F.col(c) if c in ("doc_id", "page") else F.col(f"r.{c}") for c in rows.columns]).withColumn("text", strip(F.col("text")))

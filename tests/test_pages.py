@@ -369,3 +369,101 @@ def test_stream(spark, tmp_path):
     got = ingest.ingested(spark, str(tmp_path / "c")).orderBy("page").collect()
     assert [r.method for r in got] == ["text", "unknown"]
     assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
+def test_reading_scans_from_the_command_line(spark, tmp_path):
+    """Files in, Markdown out: text layers, two-column scans, tables, a prompt file, retries from statistics."""
+    from folioscope.cli import Adapters, main
+
+    good, read = "word word word word. " * 20, LONG
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def pdf_text(content, wanted):
+        for n, text in enumerate(content.decode().split("|"), 1):
+            if not wanted or n in wanted:
+                yield n, text
+
+    def words(content, wanted):
+        for n, text in enumerate(content.decode().split("|"), 1):
+            columns = [{"text": "w", "x0": 10.0 if k % 2 else 60.0, "x1": 40.0 if k % 2 else 90.0, "top": 10.0 * k, "bottom": 10.0 * k + 8} for k in range(24)]
+            yield n, 100.0, 300.0, columns if text == "two" else columns[:2], [{"size": 9.0, "top": 1.0}]
+
+    def render(content, page, dpi):
+        if page == 5:
+            raise RuntimeError("torn")
+        return np.full((dpi // 10, 40, 3), 255, np.uint8)
+
+    def serve(url, key, payload, timeout):  # nested, so that it travels by value
+        import uuid
+
+        told = payload["messages"][0]["content"]
+        (asked / uuid.uuid4().hex).write_text(f"{payload['model']} {payload['max_tokens']} {told[0]['image_url']['detail']} {told[0]['image_url']['url'][:15]} {told[1]['text']}")
+        return ocr.Reply(200, {"choices": [{"message": {"content": read}, "finish_reason": "stop"}]})
+
+    def grid(content, page):
+        return [[["a", "b"], ["1", "2"]]] if page == 4 else []
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.pdf").write_bytes(f"{good}|scan|two|table|torn".encode())
+    (tmp_path / "prompt").write_text("  Read page {page}. \n")
+    use = Adapters(pdf_text, words, render, [("grid", grid)], serve)
+    flags = ["--source", "pdf", "--api-url", "u", "--api-key", "k", "--model", "m", "--max-tokens", "99", "--detail", "low", "--table-mode", "auto", "--page-retries", "1", "--dpi", "200", "--quiet"]
+    files = ["--out", str(tmp_path / "o"), "--json-out", str(tmp_path / "j"), "--stats-out", str(tmp_path / "s"), "--prompt-file", str(tmp_path / "prompt"), "--cache-dir", str(tmp_path / "c")]
+    assert main([str(tmp_path / "in"), *flags, *files, "--cache-images"], spark, use) == 0
+    row = spark.read.json(str(tmp_path / "s")).first()
+    import json
+
+    told = json.loads(row.json)
+    assert [p["method"] for p in told["pages"]] == ["text", "ocr", "ocr", "table", "error"] and told["summary"]["error_pages"] == [5]
+    sent = sorted(x.read_text() for x in asked.iterdir())
+    assert sent == ["m 99 low data:image/png; Read page 2.", *["m 99 low data:image/png; Read page 3."] * 2]  # two columns are two images
+    markdown = next((tmp_path / "o").rglob("*.txt")).read_text()
+    assert "| a | b |" in markdown and markdown.count(read.strip()) == 3 and "Error processing page 5" in markdown
+    assert spark.read.parquet(str(tmp_path / "c.images")).filter("pixels IS NOT NULL").count() == 2
+    mended = Adapters(pdf_text, words, lambda content, page, dpi: np.full((9, 9), 255, np.uint8), [("grid", grid)], serve)
+    again = [str(tmp_path / "in"), *flags, *files[:2], "--stats-out", str(tmp_path / "s2"), *files[6:], "--retry-failed-from", str(tmp_path / "s")]
+    assert main(again, spark, mended) == 0 and len(list(asked.iterdir())) == 4
+    assert [p["method"] for p in json.loads(spark.read.json(str(tmp_path / "s2")).first().json)["pages"]] == ["text", "ocr", "ocr", "table", "ocr"]
+
+
+def test_hooks_run_once(spark, tmp_path):
+    log = tmp_path / "log"
+    pages = make(spark, ["word word word word. " * 20] * 3)
+    out = convert(spark, pages, Config(mode="text", pre_hook=f"tee -a {log}"), str(tmp_path / "c"))
+    assert out.summary.first().total_pages == 3 and out.pages.count() == 3 and log.read_text().count("word. ") + log.read_text().count("word.") >= 3
+    assert len(log.read_bytes()) == 3 * len(("word word word word. " * 20).strip())
+
+
+def test_every_setting_is_read():
+    import dataclasses
+    from pathlib import Path
+
+    import folioscope
+
+    code = "\n".join(p.read_text() for p in Path(folioscope.__file__).parent.rglob("*.py") if "llm" not in p.parts)
+    unread = [f.name for f in dataclasses.fields(Config) if f"c.{f.name}" not in code and f"self.{f.name}" not in code]
+    assert not unread
+
+
+def test_coloured_images():
+    image = np.random.default_rng(3).integers(0, 256, (30, 20, 3), dtype=np.uint8)
+    assert images.to_gray(image).shape == (30, 20) and (images.to_gray(np.repeat(image[..., :1], 3, axis=2)) == image[..., 0]).all()
+    assert images.preprocess(image).ndim == 2 and images.preprocess(image, black_white=False, straighten=False).shape == image.shape
+    assert images.shrink(image, 15)[0].shape == (15, 10, 3) and images.rotate(image, 90.0).shape == (20, 30, 3)
+    assert images.png(image)[25] == 2 and (images.from_row(image.tobytes(), 20, 30) == image).all()
+    look = images.Look(max_pixels=100, min_side=5, blocks=True)
+    assert len(look.urls(image, 0.5)) == 2 and len(look.urls(image)) == 1
+    with pytest.raises(RuntimeError):
+        images.Look(max_pixels=100, skip_large=True).urls(image)
+
+
+def test_page_headers(spark):
+    head = lambda template, page: spark.range(1).select(sinks.page_header(template, F.lit(page)).alias("h")).first().h
+    assert [head("## {page}", 7), head("{page:03d}/{page}", 7), head("{page:3}", 7), head("{page:02d}", 123), head("{{x}} {page:d}", 7)] == ["## 7", "007/7", "  7", "123", "{x} 7"]
+
+
+def test_numbered_pages(spark):
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 3, "w"), ("b", None, "n"), ("b", 2, "m"), (None, 1, "z")], "d string, o int, t string")
+    got = {(r.doc_id, r.page, r.text) for r in source.number_pages(rows, "d", "o", "t").collect()}
+    assert got == {("a", 1, "y"), ("a", 2, "w"), ("a", 3, "x"), ("b", 1, "n"), ("b", 2, "m"), (None, 1, "z")}
