@@ -59,6 +59,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+_FAULTS = ("OCR quality check failed: ", "no answer: ", "ocr QUALITY check failed by ")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as page statistics: users are documents, events their pages."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -66,7 +69,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         (F.col("user_id") % 97).cast("string").alias("doc_id"), F.col("event_id").cast("int").alias("page"), method.alias("method"),
         (F.col("event_id") % 1000 / 8).alias("seconds"), (F.col("event_id") * 3).alias("chars"), (F.col("event_id") % 5 == 0).alias("cached"),
-        F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("OCR quality check failed: "), "event_type")).alias("error"),
+        F.when(F.col("event_id") % 4 == 3, F.concat(F.element_at(F.array(*map(F.lit, _FAULTS)), (F.col("event_id") % 3 + 1).cast("int")), "event_type")).alias("error"),
         F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("api_url"), F.lit(None).cast("string").alias("warning"),
     )
 
@@ -74,7 +77,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = """
 ev AS (SELECT CAST(user_id % 97 AS VARCHAR) AS doc_id, CAST(event_id AS INT) AS page, ['text', 'ocr', 'table', 'error'][CAST(event_id % 4 + 1 AS INT)] AS method,
   CAST(event_id % 1000 AS DOUBLE) / 8 AS seconds, event_id * 3 AS chars, event_id % 5 = 0 AS cached,
-  CASE WHEN event_id % 4 = 3 THEN 'OCR quality check failed: ' || event_type END AS error FROM events)"""
+  CASE WHEN event_id % 4 = 3 THEN ['OCR quality check failed: ', 'no answer: ', 'ocr QUALITY check failed by '][CAST(event_id % 3 + 1 AS INT)] || event_type END AS error FROM events)"""
 
 # --- pieces of DuckDB SQL -------------------------------------------------------
 
@@ -173,15 +176,15 @@ def _ocr_sql(x: str) -> str:
   (length({x}) - length(regexp_replace({x}, '[\x{{FFFD}}\x{{25A1}}]', '', 'g')) + (length({x}) - length(replace({x}, '[??]', ''))) / 4) / {n} AS replacement_ratio"""
 
 
-#: Pages with unreadable marks put in by rule.
-_MARKED = f"{_NORMED}, mk AS (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN replace(text, 'the ', '[??] ') WHEN page % 3 = 1 THEN substr(text, 1, 70) ELSE text END AS text FROM np), om AS (SELECT doc_id, page, {_ocr_sql(_norm('text'))} FROM mk)"
+#: Whole pages, some with unreadable marks put in by rule.
+_MARKED = f"{_NORMED}, mk AS (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN replace(text, 'the ', '[??] ') WHEN page % 3 = 1 THEN regexp_replace(text, '[a-z]', '#', 'g') ELSE text END AS text FROM np), om AS (SELECT doc_id, page, {_ocr_sql(_norm('text'))} FROM mk)"
 _OCR = ("alnum_ratio", "symbol_ratio", "replacement_ratio")
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page") % 3
     text = t.normalize(F.col("text"))
-    return paged(spark, sf_dir).withColumn("text", F.when(page == 0, F.replace(text, F.lit("the "), F.lit("[??] "))).when(page == 1, F.substring(text, 1, 70)).otherwise(text))
+    return paged(spark, sf_dir).withColumn("text", F.when(page == 0, F.replace(text, F.lit("the "), F.lit("[??] "))).when(page == 1, F.regexp_replace(text, "[a-z]", "#")).otherwise(text))
 
 
 @query(f"WITH {_MARKED} SELECT doc_id, page, CAST(total_chars AS INT) AS total_chars, {', '.join(f'round({c}, 6) AS {c}' for c in _OCR)} FROM om")
@@ -226,22 +229,21 @@ def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JOINED = rf"{_LINED}, nx AS (SELECT doc_id, page, i, line, lead(line) OVER (PARTITION BY doc_id, page ORDER BY i) AS after FROM ln)"
 
 
-@query(rf"WITH {_JOINED} SELECT doc_id, page, count(*) AS n FROM nx WHERE after IS NOT NULL AND NOT {_is_block('line')} AND NOT {_is_block('after')} AND NOT regexp_matches({_sub('line', _W + '+' + chr(92) + 'z')}, '[.?!;:。！？；：]\z') GROUP BY 1, 2")
+@query(rf"WITH {_JOINED} SELECT doc_id, page, CAST(i AS INT) AS line_no, line, after FROM nx WHERE after IS NOT NULL AND NOT {_is_block('line')} AND NOT {_is_block('after')} AND NOT regexp_matches({_sub('line', _W + '+' + chr(92) + 'z')}, '[.?!;:。！？；：]\z')")
 def joinable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = crosspage.computed(paged(spark, sf_dir), l=t.lines(t.normalize(F.col("text"))))
-    pairs = F.transform("l", lambda x, i: F.struct(x.alias("a"), F.get("l", i + 1).alias("b")))
-    n = F.size(F.filter(pairs, lambda p: p["b"].isNotNull() & t.may_join(p["a"], p["b"])))
-    return own.select("doc_id", "page", n.cast("long").alias("n")).filter("n > 0")
+    pairs = F.transform("l", lambda x, i: F.struct(x.alias("line"), F.get("l", i + 1).alias("after")))
+    rows = own.select("doc_id", "page", F.posexplode(pairs).alias("i", "p"))
+    return rows.filter(F.col("p.after").isNotNull() & t.may_join(F.col("p.line"), F.col("p.after"))).select("doc_id", "page", (F.col("i") + 1).alias("line_no"), "p.line", "p.after")
 
 
 _PARAS = rf"{_PAGED}, pp AS (SELECT doc_id, page, list_filter(list_transform(regexp_split_to_array({_strip('text')}, '\n{_W}*\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM paged)"
 
 
-@query(f"WITH {_PARAS} SELECT doc_id, page, CAST(len(ps) AS INT) AS n_paragraphs, array_to_string(list_transform(ps, lambda x: CAST(length(x) AS VARCHAR)), ',') AS sizes, ps[len(ps)] AS last_paragraph FROM pp")
+@query(f"WITH {_PARAS} SELECT doc_id, page, CAST(generate_subscripts(ps, 1) AS INT) AS n, unnest(ps) AS paragraph FROM pp")
 def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = crosspage.computed(paged(spark, sf_dir), ps=t.paragraphs(F.col("text")))
-    sizes = F.array_join(F.transform("ps", lambda x: F.length(x).cast("string")), ",")
-    return own.select("doc_id", "page", F.size("ps").alias("n_paragraphs"), sizes.alias("sizes"), F.element_at("ps", -1).alias("last_paragraph"))
+    return own.select("doc_id", "page", F.posexplode("ps").alias("i", "paragraph")).select("doc_id", "page", (F.col("i") + 1).alias("n"), "paragraph")
 
 
 #: Rules of the replacement queries, in order.
@@ -306,17 +308,16 @@ def parse_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", F.array_join(pages, ",").alias("pages"))
 
 
-@query(f"WITH {_PAGED} SELECT doc_id, page, length(text) AS n_chars FROM paged WHERE (page BETWEEN 2 AND 30 OR page = 44) AND page NOT IN (5, 6, 7)")
+@query(f"WITH {_PAGED} SELECT doc_id, page, text FROM paged WHERE (page BETWEEN 2 AND 30 OR page = 44) AND page NOT IN (5, 6, 7)")
 def select_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.select_pages(paged(spark, sf_dir), "30-2,44", "5-7").select("doc_id", "page", F.length("text").cast("long").alias("n_chars"))
+    return routing.select_pages(paged(spark, sf_dir), "30-2,44", "5-7")
 
 
-@query("SELECT c_custkey, list_aggregate(list_distinct(list_filter(list_transform(string_split(concat(c_mktsegment, ' , ,', CAST(c_nationkey AS VARCHAR), ',', c_mktsegment), ','), lambda x: trim(x)), lambda x: x <> '')), 'max') AS greatest_item, CAST(len(list_distinct(list_filter(list_transform(string_split(concat(c_mktsegment, ' , ,', CAST(c_nationkey AS VARCHAR), ',', c_mktsegment), ','), lambda x: trim(x)), lambda x: x <> ''))) AS INT) AS n_items FROM customer")
+@query("WITH s AS (SELECT c_custkey, string_split(concat(c_mktsegment, ' , ,', CAST(c_nationkey AS VARCHAR), ',', c_mktsegment), ',') AS ps FROM customer), u AS (SELECT c_custkey, trim(unnest(ps)) AS p, generate_subscripts(ps, 1) AS i FROM s), f AS (SELECT c_custkey, p, min(i) AS i FROM u WHERE p <> '' GROUP BY 1, 2) SELECT c_custkey, string_agg(p, '|' ORDER BY i) AS items FROM f GROUP BY 1")
 def unique_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     text = F.concat("c_mktsegment", F.lit(" , ,"), F.col("c_nationkey").cast("string"), F.lit(","), "c_mktsegment")
-    items = lists.unique(lists.split_csv(text))
-    return c.select("c_custkey", F.array_max(items).alias("greatest_item"), F.size(items).alias("n_items"))
+    return c.select("c_custkey", F.array_join(lists.unique(lists.split_csv(text)), "|").alias("items"))
 
 
 _TABLE = "concat('| ', n_name, ' | ', CAST(n_nationkey AS VARCHAR), ' | ', CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE '' END, ' |')"
@@ -485,12 +486,12 @@ def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.dry_run(routing.route(pages, _cache(pages), resume=True, retry_failed=True))
 
 
-@query(f"WITH {_RAW} SELECT pl.doc_id, pl.page, CASE WHEN plan <> 'ocr' THEN plan ELSE 'table' END AS method, length(CASE WHEN plan <> 'ocr' THEN d.text WHEN pl.page % 2 = 0 THEN '| a |' ELSE '[Empty page]' END) AS n_chars FROM pl JOIN d ON d.source = pl.doc_id AND d.pg = pl.page")
+@query(f"WITH {_RAW} SELECT pl.doc_id, pl.page, CASE WHEN plan <> 'ocr' THEN plan ELSE 'table' END AS method, CASE WHEN plan <> 'ocr' THEN d.text WHEN pl.page % 2 = 0 THEN '| a |' ELSE '[Empty page]' END AS text FROM pl JOIN d ON d.source = pl.doc_id AND d.pg = pl.page")
 def intercept_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _raw(spark, sf_dir)
     planned = routing.route(pages, _cache(pages), resume=True, retry_failed=True)
     found = pages.filter("page % 2 = 0").select("doc_id", "page", F.lit("| a |").alias("table_text"))
-    return routing.intercept_tables(planned, found, only=True).select("doc_id", "page", "method", F.length("text").cast("long").alias("n_chars"))
+    return routing.intercept_tables(planned, found, only=True).select("doc_id", "page", "method", "text")
 
 
 @query(f"WITH {_RAW} SELECT source AS doc_id, pg AS page FROM d WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.doc_id = source AND ca.page = pg AND ca.error IS NULL)")
@@ -513,9 +514,9 @@ def failed_in_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.failed_in_cache(_events(spark, sf_dir))
 
 
-@query(f"WITH {_EVENTS} SELECT doc_id, page, error IS NOT NULL AS quality_error FROM ev")
+@query(f"WITH {_EVENTS} SELECT doc_id, page, error, coalesce(contains(lower(error), 'quality check failed'), false) AS quality_error FROM ev")
 def quality_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.by_quality(_events(spark, sf_dir)).select("doc_id", "page", "quality_error")
+    return routing.by_quality(_events(spark, sf_dir)).select("doc_id", "page", "error", F.coalesce("quality_error", F.lit(False)).alias("quality_error"))
 
 
 @query(f"""WITH {_EVENTS}, s AS (SELECT doc_id, count(*) AS total_pages, count(*) FILTER (WHERE method = 'text') AS text_pages, count(*) FILTER (WHERE method = 'table') AS table_pages, count(*) FILTER (WHERE method = 'ocr') AS ocr_pages,
@@ -540,12 +541,36 @@ def cached_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.stats_from_meta(rows).select("doc_id", "page", "method", "seconds", "chars", "cached")
 
 
-@query()
+def _ascii(x: str) -> str:
+    """JSON text with everything beyond ASCII as \\uXXXX, in DuckDB's SQL."""
+    unit = lambda v: f"lpad(lower(printf('%x', {v})), 4, '0')"
+    escaped = f"CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN '\\u' || {unit('unicode(c)')} ELSE '\\u' || {unit('55296 + (unicode(c) - 65536) // 1024')} || '\\u' || {unit('56320 + (unicode(c) - 65536) % 1024')} END"
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: {escaped}), '')"
+
+
+_PAGE_STAT = """concat('{"page":', page, ',"method":"unknown","seconds":0.0,"chars":', length(text), ',"cached":false,"error":null,"model":null,"api_url":null,"warning":', coalesce(CAST(to_json(warning) AS VARCHAR), 'null'), '}')"""
+_DOC_SUMMARY = """concat('{"total_pages":', count(*), ',"text_pages":0,"table_pages":0,"ocr_pages":0,"cached_pages":0,"error_pages":[],"elapsed_seconds":0.0,"ocr_ratio":0.0,"dedupe_removed":0}')"""
+
+
+def _with_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    return _cleaned(spark, sf_dir).select("doc_id", "page", "text", "method", F.lit(0.0).alias("seconds"), F.length("text").cast("long").alias("chars"), F.lit(False).alias("cached"), nothing.alias("error"), nothing.alias("model"), nothing.alias("api_url"), "warning")
+
+
+@query(f"""WITH {_CLEAN}, pj AS (SELECT doc_id, page, concat('{{"page":', page, ',"text":', CAST(to_json(text) AS VARCHAR), ',"stats":', {_PAGE_STAT}, '}}') AS j FROM fin)
+SELECT doc_id, {_ascii("concat('{\"config\":{\"version\": 1},\"summary\":', " + _DOC_SUMMARY + ", ',\"pages\":[', string_agg(j, ',' ORDER BY page), ']}')")} AS json FROM pj GROUP BY 1""")
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _cleaned(spark, sf_dir).withColumn("seconds", F.lit(0.0)).withColumn("cached", F.lit(False)).withColumn("error", F.lit(None).cast("string"))
+    pages = _with_stats(spark, sf_dir)
     return sinks.result_json(pages, summary.run_summary(pages), {"version": 1})
 
 
+@query(f"""WITH {_CLEAN}, pj AS (SELECT doc_id, page, {_PAGE_STAT} AS j FROM fin)
+SELECT doc_id, {_ascii("concat('{\"config\":{\"version\": 1},\"selected_pages\":[', string_agg(CAST(page AS VARCHAR), ',' ORDER BY page), '],\"summary\":', " + _DOC_SUMMARY + ", ',\"pages\":[', string_agg(j, ',' ORDER BY page), ']}')")} AS json FROM pj GROUP BY 1""")
+def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _with_stats(spark, sf_dir)
+    return sinks.stats_json(pages, summary.run_summary(pages), {"version": 1})
+
+
 # --- layout ---------------------------------------------------------------------
 
 
