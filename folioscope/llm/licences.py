@@ -6,7 +6,9 @@ lines are looked for in a second view, in runs of such lines.  A paragraph's fea
 numpy, gives a probability for each licence family, for ``unknown`` (talk of
 licences that names no known family) and for ``none``.  A temperature fitted on
 held-out examples calibrates it, and what it then calls a family with less than
-``CONFIDENT`` probability is ``unknown`` as well.  A predicted family is confirmed
+``CONFIDENT`` probability is ``unknown`` as well.  Short notices whose telling words
+are replaced by invented names stand for families that no template knows, in
+training and in calibration.  A predicted family is confirmed
 when the paragraph holds enough of one of the family's templates, in order of
 words; unconfirmed predictions count as ``unknown``.
 
@@ -18,7 +20,8 @@ numbered by its first line.
 
 The training paragraphs are made by rule, with a fixed seed: templates with words
 dropped, names and years put in and words around them, licence talk, and prose of
-common and invented words (``PER_CLASS`` of each class); no row is read for it.
+common and invented words (``PER_CLASS`` of each family, three times as many of prose, eight times as many of
+licence talk, most of it by invented names); no row is read for it.
 
 For most paragraphs the full softmax is not needed: the sum of each feature's
 largest advantage of any class over ``none`` bounds them all, and where that bound
@@ -123,6 +126,26 @@ def _tokens(line: str) -> list[str]:
     return [low[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(a, b, strict=True)]
 
 
+#: Templates of at most so many words name their licence and say little else.
+SHORT_NOTICE = 14
+
+
+def _strange() -> list[tuple[list[str], frozenset[str]]]:
+    """Short notices, and which of their words only their family has: with other names there they are of unknown families."""
+    held: dict[str, set[str]] = {}
+    for family, texts in TEMPLATES.items():
+        for w in {w for t in texts for w in _tokens(t)}:
+            held.setdefault(w, set()).add(family)
+    out = []
+    for texts in TEMPLATES.values():
+        for t in texts:
+            names = {w for x in t.split()[1:] if x != x.lower() for w in _tokens(x)}
+            own = frozenset(w for w in names if len(held[w]) == 1 and not w.isdigit())
+            if own and len(_tokens(t)) <= SHORT_NOTICE:
+                out.append((t.split(), own))
+    return out
+
+
 def _examples(rng: random.Random, per_class: int) -> list[tuple[str, int]]:
     def word() -> str:
         return "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "st", "le", "ou", "ci", "ch", "en", "ie"]) for _ in range(rng.randint(1, 4)))
@@ -140,14 +163,22 @@ def _examples(rng: random.Random, per_class: int) -> list[tuple[str, int]]:
             words += prose(rng.randint(1, 6))
         return " ".join(words)
 
+    strange = _strange()
+
+    def stranger() -> str:
+        words, own = rng.choice(strange)
+        name = [word().capitalize() for _ in range(rng.randint(1, 3))]
+        renamed = [w for x in words for w in (name if own & set(_tokens(x)) else [x])]
+        return vary(" ".join(renamed))
+
     rows = []
     for k, name in enumerate(CLASSES):
-        for i in range(per_class if k > 1 else 3 * per_class):
+        for i in range(per_class if k > 1 else (3, 8)[k] * per_class):
             if name == "none":
                 text = " ".join(prose(rng.randint(1, 60)))
             else:
                 pool = TALK if name == "unknown" else TEMPLATES[name]
-                text = pool[0] if i == 0 else vary(pool[i % len(pool)])
+                text = pool[0] if i == 0 else stranger() if name == "unknown" and i % 4 else vary(pool[i // 4 % len(pool)] if name == "unknown" else pool[i % len(pool)])
             rows.append((text, k))
     return rows
 

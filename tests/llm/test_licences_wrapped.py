@@ -51,3 +51,23 @@ def test_sums_of_stretches():
         gram, line, n = licences._grams(part, np.array([0, len(part)]))
         got = words.sums(model.weight, np.array([a]), np.array([b])) / np.sqrt(2 * n - 1) + model.bias
         assert np.allclose(got, model.logits(gram, line, n), atol=1e-5)
+
+
+def test_unknown_families():
+    """Licences that no template names are unknown, those that templates name are not."""
+    import numpy as np
+
+    model = licences.train()
+
+    def said(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        p = model.probabilities(model.logits(*licences._grams(raw, np.array([0, len(raw)]))))[0]
+        k = int(p.argmax())
+        return licences.CLASSES[k] if licences.CLASSES[k] in ("none", "unknown") or p[k] >= licences.CONFIDENT else "unknown"
+
+    strangers = (
+        "Licensed under the Eclipse Public License 2.0", "Licensed under the EUPL", "Released under the zlib License", "Licensed under the Artistic License 2.0",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1", "Distributed under the Boost Software License, Version 1.0", "Released under the Acme Community License",
+    )
+    assert [said(x) for x in strangers] == ["unknown"] * len(strangers)
+    assert all(said(t) == family for family, texts in licences.TEMPLATES.items() for t in texts)
