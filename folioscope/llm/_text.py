@@ -82,11 +82,21 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
-    release()
+    release(len(data))
 
 
-def release() -> None:
-    """Gives back to the system what freed arrays and batches have left with the allocators of a long-lived worker."""
+#: Bytes of text after which freed memory is given back.
+RELEASE_BYTES = 32 << 20
+_since = 0
+
+
+def release(size: int = RELEASE_BYTES) -> None:
+    """Every ``RELEASE_BYTES`` of text: gives back to the system what freed arrays and batches have left with the allocators of a long-lived worker."""
+    global _since
+    _since += size
+    if _since < RELEASE_BYTES:
+        return
+    _since = 0
     pa.default_memory_pool().release_unused()
     trim = getattr(_libc, "malloc_trim", None)
     if trim:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _tokens
+from . import _store, _tokens
 
 BUDGET = 1024
 HISTORY = 256
@@ -138,6 +138,7 @@ def _formatter(path: str, budget: int, history: int):
 
 def format_windows(conversations: DataFrame, path: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, text, n_repeated, loss (spans of code points), tokens of every window, in order within partitions."""
+    _store.bound_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(_formatter(path or _tokens.default_path(), budget, history), _WINDOW)

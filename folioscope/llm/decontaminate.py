@@ -152,6 +152,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, n_words, hits): ``row`` holds the input columns, ``hits`` the word ranges found of each item."""
     spark = docs.sparkSession
+    _store.bound_batches(spark)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     out = docs.select(row, F.col("text").cast("string").alias("t"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(_HIT_SQL).alias("hits"))
     schema = out.schema

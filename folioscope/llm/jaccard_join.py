@@ -335,6 +335,7 @@ class Join:
     """The join's steps over one table of documents."""
 
     def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS):
+        _store.bound_batches(docs.sparkSession)
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.text = self.docs.select("text")
         self.spark, self.n, self.percent, self.fragments = docs.sparkSession, n, percent, fragments

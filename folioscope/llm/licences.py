@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _store
 from . import _text as tx
 
 PER_CLASS = 240
@@ -452,6 +453,7 @@ def _scanner(model):
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(row, n_paragraphs, flagged): each flagged paragraph's number, lines, family, calibrated probability and confirmation."""
+    _store.bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model or train())
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string"))
     return source.mapInArrow(_scanner(shipped), f"row {source.schema['row'].dataType.simpleString()}, n_paragraphs long, flagged {_FLAG_SQL}")

@@ -64,6 +64,7 @@ def _tokenizer(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids, part, rank), written once: ids are packed little-endian uint32."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    _store.bound_batches(docs.sparkSession)
     return _store.pin(source.mapInArrow(_tokenizer(path or _tokens.default_path(), capacity, end_id), _PIECES), "pieces")
 
 

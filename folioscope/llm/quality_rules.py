@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _store
 from . import _text as tx
 
 WINDOW = 8
@@ -126,6 +127,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measurements, failed): each rule evaluated once; bit b of ``failed`` is rule b."""
+    _store.bound_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in _FIELDS)
     measured = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, schema)
     return _with_bits(measured)
@@ -154,6 +156,7 @@ def ablations(entries: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def filter_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns, judged in place (no join)."""
+    _store.bound_batches(docs.sparkSession)
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     fields = "".join(f", {x} long" for x in _FIELDS)

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _store
+
 PER_FAMILY = 400
 ALPHA = 0.05
 MARGIN = 0.9
@@ -293,6 +295,7 @@ def _scan_redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    _store.bound_batches(docs.sparkSession)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("t"))
 
 

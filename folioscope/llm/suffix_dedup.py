@@ -413,6 +413,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(digest, key, lo, hi): ranges of starts of repeated spans, by text; hi < lo stands for the whole text."""
+    _store.bound_batches(docs.sparkSession)
     text = docs.select(F.col("text").cast("string").alias("text"))
     buckets = max(1, _store.total_bytes(text) // BUCKET_BYTES)
     packed = text.mapInArrow(_emit_anchors(buckets), "bucket long, packed binary")

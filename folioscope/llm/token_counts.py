@@ -60,6 +60,7 @@ def _writer(folder: str, path: str, separator: int, dtype: str):
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
     """Writes one flat file for each partition; returns (doc_id, shard, ordinal), the order of the documents in them."""
+    _store.bound_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return _store.pin(source.mapInArrow(_writer(folder, path or _tokens.default_path(), separator, dtype), "doc_id long, shard int, ordinal long"), "shards")
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _store
 from . import _text as tx
 
 SIZES = (3, 4, 5, 6, 7)
@@ -232,6 +233,7 @@ def _scorer(model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(row, score): ``row`` holds the input columns."""
+    _store.bound_batches(docs.sparkSession)
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string"))
     return source.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"row {source.schema['row'].dataType.simpleString()}, score double")
 
