@@ -11,6 +11,13 @@ the last return the columns of ``documents``.
 4. secret_scans: secrets are replaced by marks of their kind.
 5. best_fit_packing: the rest is tokenized and packed.
 
+Nulls, ties and odd tables: null and empty texts fail the quality rules and go.  Rows
+with a null id are worked on like any others; in a group of near copies any id goes
+before a null one, and of rows that tie (equal ids, or null ids only) one stays.
+Repeated rows are copies of each other.  Texts of any length are read whole.  Empty
+tables give empty tables, with the same columns; columns beside ``doc_id`` and
+``text`` may be missing, null or have any names, and are carried along up to packing.
+
 SQL can't state the tokenizer's ids, so there is no ``ORACLE_SQL``; the tests hold
 ``run`` against brute force.
 """

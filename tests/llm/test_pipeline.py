@@ -36,3 +36,27 @@ def test_stages(spark, tmp_path):
     assert 11 not in want and 3 not in want and 7 not in want and "<assign>" in dict(kept)[9]
     got = {r.doc_id: r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null ids, ties, repeated rows, clashing columns and no rows at all, through every stage."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    a, b, c, d = text(60), text(60), text(100), text(80)
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, c), (6, c + " more"), (None, c), (7, d), (8, None), (None, None), (9, "")]
+    schema = "doc_id long, text string, node string, kept boolean, row int, n_words long, lang string"
+    spark.createDataFrame([(i, t, "x", True, k, None, None) for k, (i, t) in enumerate(rows)], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+    got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, c), (7, d)], key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id) for r in packed)) == ["5", "7", "None", "None"]
+    none = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, none, str(tmp_path))
+        assert made.count() == 0
