@@ -260,26 +260,57 @@ def _stretches(n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _wrapped(model: Model, data: np.ndarray, lines: np.ndarray, n: np.ndarray, row: np.ndarray, held: dict[int, set[str]]) -> list[tuple[int, int, str, float]]:
-    """(first line, line behind, family, probability) of notices over several lines; ``held`` has the families that lines confirm."""
-    a, b = _stretches(n, row)
+def _line_blocks(lines: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(first line, line behind) of runs of lines of about ``size`` bytes, or one longer line."""
+    i, n = 0, len(lines) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(lines, lines[i] + size, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _likely(model: Model, data: np.ndarray, lines: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first line, line behind, class, probability) of those stretches that may be a family's and probably are."""
+    none = (a[:0], a[:0], a[:0], np.zeros(0))
     if not len(a):
-        return []
-    words = Words.of(data, lines, model)
-    size = words.first[b] - words.first[a]
-    share = 1 / np.sqrt(2 * size - 1)
+        return none
+    low, high = int(a.min()), int(b.max())
+    words = Words.of(data[lines[low] : lines[high]], lines[low : high + 1] - lines[low], model)
+    a, b = a - low, b - low
+    share = 1 / np.sqrt(2 * (words.first[b] - words.first[a]) - 1)
     lead = (model.weight - model.weight[:, :1]).max(axis=1)
     may = words.sums(lead, a, b) * share + (model.bias - model.bias[0]).max() >= -1e-6
     a, b, share = a[may], b[may], share[may]
     if not len(a):
-        return []
+        return none
     p = model.probabilities(words.sums(model.weight, a, b) * share[:, None] + model.bias)
     best = p.argmax(axis=1)
     sure = p[np.arange(len(p)), best]
     named = np.flatnonzero((best > 1) & (sure >= CONFIDENT))
+    return a[named] + low, b[named] + low, best[named], sure[named]
+
+
+def _in_parts(lines: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """Stretches, some at a time: those that lie in about a chunk of text, or one longer stretch."""
+    order = np.argsort(a, kind="stable")
+    for long in (False, True):  # stretches of a few lines overlap, whole runs don't
+        own = order[(b - a)[order] > max(SPANS)] if long else order[(b - a)[order] <= max(SPANS)]
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(lines[b[own]], lines[a[own[at]]] + tx.CHUNK, "right"))) if long else max(at + 1, int(np.searchsorted(lines[a[own]], lines[a[own[at]]] + tx.CHUNK, "right")))
+            yield own[at:to]
+            at = to
+
+
+def _wrapped(model: Model, data: np.ndarray, lines: np.ndarray, n: np.ndarray, row: np.ndarray, held: dict[int, set[str]]) -> list[tuple[int, int, str, float]]:
+    """(first line, line behind, family, probability) of notices over several lines; ``held`` has the families that lines confirm."""
+    a, b = _stretches(n, row)
+    if not len(a):
+        return []
+    a, b, best, sure = (np.concatenate(x) for x in zip(*(_likely(model, data, lines, a[own], b[own]) for own in _in_parts(lines, a, b)), strict=True))
     found = []
     taken = {line: set(families) for line, families in held.items()}
-    for x in named[np.lexsort((a[named], -sure[named], (b - a)[named]))].tolist():
+    for x in np.lexsort((a, -sure, b - a)).tolist():
         family, own = CLASSES[best[x]], range(int(a[x]), int(b[x]))
         if any(family in taken.get(line, ()) for line in own):
             continue
@@ -411,6 +442,26 @@ _FLAG = pa.list_(pa.struct([("paragraph", pa.int64()), ("lines", pa.int64()), ("
 _FLAG_SQL = "array<struct<paragraph:bigint,lines:bigint,family:string,probability:double,confirmed:boolean>>"
 
 
+def _flag_lines(m: Model, data: np.ndarray, lines: np.ndarray, a: int, b: int, n: np.ndarray) -> list[tuple[int, int, str, float, bool]]:
+    """(line, line behind, family, probability, confirmed) of the flagged ones of lines a to b - 1, whose words it counts in ``n``."""
+    gram, line, n[a:b] = _grams(data[lines[a] : lines[b]], lines[a : b + 1] - lines[a])
+    size = n[a:b]
+    some = np.flatnonzero((m.bound(gram, line, size) >= 0) & (size > 0))
+    place = np.full(b - a, -1)
+    place[some] = np.arange(len(some))
+    mine = place[line] >= 0
+    p = m.probabilities(m.logits(gram[mine], place[line[mine]], size[some]))
+    flagged = []
+    for x, best in zip(np.flatnonzero(p.argmax(axis=1) > 0).tolist(), p.argmax(axis=1)[p.argmax(axis=1) > 0].tolist(), strict=True):
+        at = int(some[x]) + a
+        family, sure = CLASSES[best], float(p[x, best])
+        if family != "unknown" and sure < CONFIDENT:
+            family = "unknown"
+        held = family != "unknown" and confirms(family, _tokens(data[lines[at] : lines[at + 1]].tobytes().decode("utf-8", "replace")))
+        flagged.append((at, at + 1, family, sure, held))
+    return flagged
+
+
 def _scanner(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -422,24 +473,14 @@ def _scanner(model):
                 if len(lines) < 2:
                     counts.append(np.zeros(len(offsets) - 1, np.int64))
                     continue
-                gram, line, n = _grams(data, lines)
+                n = np.zeros(len(lines) - 1, np.int64)
+                flagged: list[tuple[int, int, str, float, bool]] = []
+                for a, b in _line_blocks(lines, tx.CHUNK):
+                    flagged += _flag_lines(m, data, lines, a, b, n)
                 row = np.searchsorted(offsets, lines[:-1], "right") - 1
                 counts.append(np.bincount(row, n > 0, len(offsets) - 1).astype(np.int64))
                 order = np.concatenate([[0], np.cumsum(n > 0)])
-                some = np.flatnonzero((m.bound(gram, line, n) >= 0) & (n > 0))
                 begin = np.searchsorted(lines, offsets[row])  # the first line of each line's row
-                flagged: list[tuple[int, int, str, float, bool]] = []
-                place = np.full(len(n), -1)
-                place[some] = np.arange(len(some))
-                mine = place[line] >= 0
-                p = m.probabilities(m.logits(gram[mine], place[line[mine]], n[some]))
-                for x, best in zip(np.flatnonzero(p.argmax(axis=1) > 0).tolist(), p.argmax(axis=1)[p.argmax(axis=1) > 0].tolist(), strict=True):
-                    at = int(some[x])
-                    family, sure = CLASSES[best], float(p[x, best])
-                    if family != "unknown" and sure < CONFIDENT:
-                        family = "unknown"
-                    held = family != "unknown" and confirms(family, _tokens(data[lines[at] : lines[at + 1]].tobytes().decode("utf-8", "replace")))
-                    flagged.append((at, at + 1, family, sure, held))
                 wrapped = _wrapped(m, data, lines, n, row, {at: {family} for at, _, family, _, held in flagged if held})
                 inside = {at for a, b, _, _ in wrapped for at in range(a, b)}
                 flagged = [f for f in flagged if f[4] or f[0] not in inside] + [(*w, True) for w in wrapped]

@@ -42,3 +42,22 @@ def test_features_across_chunks(monkeypatch, chunk):
     whole = told()
     monkeypatch.setattr(tx, "CHUNK", chunk)
     assert told() == whole
+
+
+def test_licences_across_chunks(monkeypatch):
+    """Lines and stretches are judged alike, whatever a chunk holds of them."""
+    import pyarrow as pa
+
+    from folioscope.llm import licences
+
+    rng = random.Random(5)
+    prose = lambda k: "\n".join(" ".join(rng.choices(["the", "tree", "went", "over", "hills", "license", "use"], k=8)) for _ in range(k))
+    notice = "Redistribution and use in source\nand binary forms, with or without modification,\nare permitted provided that the\nfollowing conditions are met"
+    texts = [f"{prose(20)}\n\n{notice}\n\n{prose(9)}\nReleased under the MIT License\n{prose(3)}", f"{prose(30)}\n{notice}\n{prose(30)}", None, "", prose(12) + "\n\n" * 3 + notice]
+    model = type("Held", (), {"value": licences.train(60, 60)})
+    told = lambda: [b.to_pylist() for b in licences._scanner(model)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "t"])]))]
+    whole = told()
+    assert sum(f["confirmed"] for r in whole[0] for f in r["flagged"]) >= 3
+    for chunk in (1, 100, 700):
+        monkeypatch.setattr(tx, "CHUNK", chunk)
+        assert told() == whole
