@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,7 +54,3 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     from pyspark.sql import functions as F
 
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
-
-
-def local_file(name: str) -> str:
-    return os.path.join(os.path.dirname(__file__), name)
