@@ -278,8 +278,8 @@ def _likely(model: Model, data: np.ndarray, lines: np.ndarray, a: np.ndarray, b:
     words = Words.of(data[lines[low] : lines[high]], lines[low : high + 1] - lines[low], model)
     a, b = a - low, b - low
     share = 1 / np.sqrt(2 * (words.first[b] - words.first[a]) - 1)
-    lead = (model.weight - model.weight[:, :1]).max(axis=1)
-    may = words.sums(lead, a, b) * share + (model.bias - model.bias[0]).max() >= -1e-6
+    lead, most = model.leads()
+    may = words.sums(lead, a, b) * share + most >= -1e-6
     a, b, share = a[may], b[may], share[may]
     if not len(a):
         return none
@@ -352,11 +352,15 @@ class Model:
         return total / np.sqrt(np.maximum(2 * n - 1, 1))[:, None] + self.bias
 
     def bound(self, gram: np.ndarray, line: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """No class is further ahead of ``none`` than this."""
+        """No class is further ahead of ``none`` than this; 0 where none is ahead of it."""
         at = self.find(gram)
-        lead = (self.weight - self.weight[:, :1]).max(axis=1)
+        lead, most = self.leads()
         total = np.bincount(line[at >= 0], lead[at[at >= 0]], len(n))
-        return total / np.sqrt(np.maximum(2 * n - 1, 1)) + (self.bias - self.bias[0]).max()
+        return np.maximum(total / np.sqrt(np.maximum(2 * n - 1, 1)) + most, 0.0)
+
+    def leads(self) -> tuple[np.ndarray, float]:
+        """Each feature's largest advantage of any other class over ``none``, and that of the biases."""
+        return (self.weight[:, 1:] - self.weight[:, :1]).max(axis=1), float((self.bias[1:] - self.bias[0]).max())
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -446,7 +450,7 @@ def _flag_lines(m: Model, data: np.ndarray, lines: np.ndarray, a: int, b: int, n
     """(line, line behind, family, probability, confirmed) of the flagged ones of lines a to b - 1, whose words it counts in ``n``."""
     gram, line, n[a:b] = _grams(data[lines[a] : lines[b]], lines[a : b + 1] - lines[a])
     size = n[a:b]
-    some = np.flatnonzero((m.bound(gram, line, size) >= 0) & (size > 0))
+    some = np.flatnonzero((m.bound(gram, line, size) > 0) & (size > 0))
     place = np.full(b - a, -1)
     place[some] = np.arange(len(some))
     mine = place[line] >= 0
