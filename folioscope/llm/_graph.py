@@ -28,11 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Each larger neighbour moves to the least one of the neighbourhood ...
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(_store.merged(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = _store.pin(large, "large-star")
         # ... then smaller neighbours, and the node itself, move to the least of them.
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        moved = large.join(_store.merged(small), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         edges = _store.pin(moved.select("e.a", "e.b").filter("a <> b").distinct(), "small-star")
         now = _state(edges)
         if now == state:

@@ -347,7 +347,7 @@ class Join:
     def _settle_clashes(self) -> None:
         """Node ids are 64 of a set's 128 bits; the few sets that share theirs get others."""
         several = self.keys.groupBy("node").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).filter("lo <> hi").select("node")
-        rows = self.keys.join(several, "node").select("node", "half").distinct().collect()  # about (sets / 2**32)**2 of them
+        rows = self.keys.join(_store.merged(several), "node").select("node", "half").distinct().collect()  # about (sets / 2**32)**2 of them
         if rows:
             self.sets.clashes = {(r.node, r.half): int(tx.mix(np.array([r.node ^ r.half], np.int64).view(np.uint64)).view(np.int64)[0]) for r in rows}
             self.keys = _store.pin(self.docs.mapInArrow(_digests(self.sets), "doc_id long, n long, node long, half long"), "keys")
@@ -373,15 +373,15 @@ class Join:
         the shared ones, so it stands in more, and longer, lists than they do.
         """
         long = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        weight = lists.join(long, "gram").groupBy("node").agg(F.sum("members").alias("weight"))
-        known = lists.select("gram", "node", "size").join(weight, "node")
+        weight = lists.join(_store.merged(long), "gram").groupBy("node").agg(F.sum("members").alias("weight"))
+        known = lists.select("gram", "node", "size").join(_store.merged(weight), "node")
         best = known.groupBy("gram").agg(F.max("weight").alias("weight"))
-        top = known.join(best, ["gram", "weight"]).groupBy("gram").agg(F.min("node").alias("hub"))
-        return top.join(lists.select("gram", F.col("node").alias("hub"), F.col("size").alias("hub_size")), ["gram", "hub"])
+        top = known.join(_store.merged(best), ["gram", "weight"]).groupBy("gram").agg(F.min("node").alias("hub"))
+        return top.join(_store.merged(lists.select("gram", F.col("node").alias("hub"), F.col("size").alias("hub_size"))), ["gram", "hub"])
 
     def first_pairs(self, lists: DataFrame) -> DataFrame:
         """For each class the hub that it shares most n-grams with."""
-        met = lists.join(self.hubs(lists), "gram").filter("node <> hub").filter(_like_sizes("size", "hub_size", self.percent))
+        met = lists.join(_store.merged(self.hubs(lists)), "gram").filter("node <> hub").filter(_like_sizes("size", "hub_size", self.percent))
         shared = met.groupBy("node", "size", "hub", "hub_size").count().filter(_shared_enough("size", "hub_size", "count", self.percent))
         return shared.groupBy("node").agg(F.max_by("hub", "count").alias("b")).select(F.col("node").alias("a"), "b")
 
@@ -391,20 +391,21 @@ class Join:
         N-grams whose lists have the same members bring the same pairs, so one of
         them stands for all, with the earliest place that each member has among them.
         """
-        own = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        own = lists.join(_store.merged(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         alike = [F.count(F.lit(1)).alias("members"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"digest{k}") for k in range(2))]
         mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *alike).filter("lo <> hi").drop("lo", "hi")
         same = ["members", "digest0", "digest1"]
-        named = mixed.join(mixed.groupBy(*same).agg(F.min("gram").alias("list")), same).select("gram", "list")
-        own = own.join(named, "gram").groupBy("list", "node").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("comp").alias("comp"), F.collect_set("gram").alias("grams"))
+        named = mixed.join(_store.merged(mixed.groupBy(*same).agg(F.min("gram").alias("list"))), same).select("gram", "list")
+        own = own.join(_store.merged(named), "gram").groupBy("list", "node").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("comp").alias("comp"), F.collect_set("gram").alias("grams"))
         own = _store.pin(own, "mixed-lists")
         x = own.select("list", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "comp")])
         y = own.select("list", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "comp")])
         both = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & _like_sizes("x_size", "y_size", self.percent)
         both = both & _early("x_size", "x_place", "y_size", self.percent) & _early("y_size", "y_place", "x_size", self.percent)
-        pairs = x.join(y, "list").filter(both).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_size", "y_size").distinct()
+        pairs = x.join(_store.merged(y), "list").filter(both).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_size", "y_size").distinct()
         prefix = own.groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams"))  # a prefix is as short as its text asks for
-        known = pairs.join(prefix.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(prefix.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
+        left, right = (prefix.select(F.col("node").alias(end), F.col("grams").alias(side)) for end, side in (("a", "left"), ("b", "right")))
+        known = pairs.join(_store.merged(left), "a").join(_store.merged(right), "b")
         known = known.withColumn("count", F.size(F.array_intersect("left", "right")))
         return known.filter(_shared_enough("x_size", "y_size", "count", self.percent)).select("a", "b")
 
@@ -417,10 +418,11 @@ class Join:
         sized = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(self.fragments)])))
         one = pieces.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left"))
         two = pieces.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right"))
-        partial = sized.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"))
+        partial = sized.join(_store.merged(one), ["a", "fragment"]).join(_store.merged(two), ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"))
         total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         size = self.keys.select("node", "n").distinct()
-        whole = total.join(size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+        n_a, n_b = (size.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")) for end in "ab")
+        whole = total.join(_store.merged(n_a), "a").join(_store.merged(n_b), "b")
         return whole.filter(100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
     def components(self) -> DataFrame:
@@ -437,10 +439,10 @@ class Join:
     def documents(self) -> DataFrame:
         """(doc_id, n, node, comp, component_id) of every row."""
         classes = self.keys.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-        member = classes.join(self.components(), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        member = classes.join(_store.merged(self.components()), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = member.groupBy("comp").agg(F.min("least").alias("component_id"))
-        known = member.select("node", "comp").join(least, "comp")
-        named = self.keys.join(known, "node", "left")
+        known = member.select("node", "comp").join(_store.merged(least), "comp")
+        named = self.keys.join(_store.merged(known), "node", "left")
         return named.select("doc_id", "n", "node", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -482,7 +484,7 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     clear = source.mapInArrow(_keyed(job.sets, sure, False), schema).select("row.*")
     rest = source.mapInArrow(_keyed(job.sets, sure, True), schema)
     decided = held.select(F.col("node").alias("h_node"), F.col("doc_id").alias("h_id"), "keep", "count")
-    met = rest.join(decided, (F.col("node") == F.col("h_node")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
+    met = rest.join(_store.merged(decided), (F.col("node") == F.col("h_node")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
     met = met.filter("keep IS NULL OR keep")  # no decision: an empty set
     once = met.filter("count > 1").dropDuplicates(["node", "doc_id"])
     return clear.unionByName(met.filter("count IS NULL OR count = 1").select("row.*")).unionByName(once.select("row.*"))
