@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import _text as tx
+
 CACHE_ROWS = 600_000
 #: New runs encoded in one call.
 _TOGETHER = 256
@@ -62,3 +64,10 @@ class Encoder:
 def encoder(path: str, special_as_text: bool = False, dtype: str = "<u4") -> Encoder:
     """One encoder for each Python worker and set of options."""
     return Encoder(path, special_as_text, dtype)
+
+
+def forget() -> None:
+    """Gives back what encoders keep in this worker: workers outlive a query, and what comes next needs the memory."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        tx.release()

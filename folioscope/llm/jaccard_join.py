@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _graph, _store
+from . import _graph, _store, _tokens
 from . import _text as tx
 from ._bloom import bloom
 
@@ -102,6 +102,7 @@ class Sets:
 
     def of(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, node ids, second halves, hashes, first) for each slice."""
+        _tokens.forget()
         for i, _, data, offsets in tx.slices(column):
             gram, first = shingle_sets(data, offsets, self.n)
             a, b = set_digests(gram, first)
@@ -221,6 +222,7 @@ def _by_bucket(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
 
 def _count_bucket(table: pa.Table) -> pa.Table:
     """One bucket's frequent n-grams, with the number of sets that hold them."""
+    _tokens.forget()
     once, several, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("once", "several", "times"))
     single = np.sort(once)
     begin = np.flatnonzero(np.concatenate([[True], single[1:] != single[:-1]])) if len(single) else np.zeros(0, np.int64)
